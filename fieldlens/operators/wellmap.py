@@ -70,13 +70,18 @@ def well_lines(paths, points_per_line=POINTS_PER_LINE):
     )
 
 
-def map_groups(points, dims=("Type",)):
-    """Points with the label of their group and their hover text; unknown groups are left out."""
-    groups = [*group_columns(dims), "is_selected"]
+def map_groups(points, dims=("Type",), path=False):
+    """Points with the label of their group and their hover text; unknown groups are left out.
+
+    With `path` a group is a well and not a value of the dimensions; mean
+    coordinates have no path.
+    """
+    columns = ["WellAPI"] if path else group_columns(dims)
+    groups = [*columns, "is_selected"]
     known = with_keys(points, groups)
     return known.withColumns(
         {
             "group_label": group_label(known, groups),
-            "hover_text": hover_text(known, list(dict.fromkeys(["WellName", *groups[:-1]]))),
+            "hover_text": hover_text(known, list(dict.fromkeys(["WellName", *columns]))),
         }
     )

@@ -19,7 +19,7 @@ CASE = "ASIA"
 LAYERS = ["RES_1", "RES_3"]
 COMPARTMENTS = ["CMP_1"]
 FAULTBLOCKS = ["FB_0", "FB_2"]
-WELLS = ["W1", "W2", "W3", "W4", "W5", "W6", "W8", "W9"]
+WELLS = [f"W{number}" for number in range(1, 60) if number not in (7, 10)]
 DIMS = ("Reservoir", "FaultBlock")
 
 QUERIES = {}
@@ -292,6 +292,12 @@ def _(t):
     return wellmap.well_paths(wellmap.well_points(t.completiondata, wells=WELLS))
 
 
+@query("map_groups_by_path")
+def _(t):
+    points = wellmap.well_points(t.completiondata, wells=t.selected_points)
+    return wellmap.map_groups(points, path=True).select("casename", "group_label", "hover_text", "TD")
+
+
 @query("well_lines")
 def _(t):
     paths = wellmap.well_paths(wellmap.well_points(t.completiondata, wells=t.selected_points))

@@ -39,9 +39,13 @@ class DerivedTables:
     def __init__(self, spark, folder):
         self._spark = spark
         self._folder = folder
+        self._sources = {}
 
     def _read(self, name):
-        return self._spark.read.schema(SOURCES[name]).parquet(f"{self._folder}/{name}.parquet")
+        if name not in self._sources:
+            reader = self._spark.read.schema(SOURCES[name])
+            self._sources[name] = reader.parquet(f"{self._folder}/{name}.parquet")
+        return self._sources[name]
 
     def _with_case(self, rows, supplier_key):
         """Rows of a table that refers to suppliers, with well and case."""

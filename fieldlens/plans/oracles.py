@@ -105,7 +105,7 @@ WITH fit_info AS (
 """
 
 RATE = {"oil": "Qo", "gross": "Qo + Qw", "water": "Qw", "injectant": "Qs", "gas": "Qg"}
-WELLS = "('W1', 'W2', 'W3', 'W4', 'W5', 'W6', 'W8', 'W9')"
+WELLS = "(" + ", ".join(f"'W{number}'" for number in range(1, 60) if number not in (7, 10)) + ")"
 LAYERS = "('RES_1', 'RES_3')"
 FAULTBLOCKS = "('FB_0', 'FB_2')"
 
@@ -304,6 +304,11 @@ SELECT casename, Compartment, Type, {POINT_COLUMNS}, WellAPI IN {WELLS} AS is_se
   concat('WellName: ', WellName, '<br>Compartment: ', Compartment, '<br>Type: ', Type) AS hover_text
 FROM completiondata c WHERE Compartment IS NOT NULL"""
 
+PATH_GROUPS = f"""
+SELECT casename, concat(WellAPI, '-', CASE WHEN is_selected THEN 'True' ELSE 'False' END) AS group_label,
+  concat('WellName: ', WellName, '<br>WellAPI: ', WellAPI) AS hover_text, TD
+FROM ({WELL_POINTS}) p"""
+
 CENTROIDS = f"""
 SELECT casename, Reservoir, FaultBlock, WellName, WellAPI, avg(Latitude) AS Latitude,
   avg(Longitude) AS Longitude, avg(X) AS Easting, avg(Y) AS Northing, WellAPI IN {WELLS} AS is_selected
@@ -411,6 +416,7 @@ ORACLES = {
     "well_paths": WELL_PATHS,
     "well_lines": WELL_LINES,
     "map_groups": MAP_GROUPS,
+    "map_groups_by_path": PATH_GROUPS,
     "well_options": "SELECT * FROM well_choice",
     "producer_options": _options(1),
     "injector_options": _options(2),
