@@ -69,9 +69,11 @@ def count_dims(completion, case=None):
 def case_summary(production, completion, case=None):
     """All counts of a case in one row; a case missing on one side counts zero there."""
     wells = _count(production, case, *_counts())
-    joined = wells.join(count_dims(completion, case), "casename", "full")
-    counts = [name for name in joined.columns if name != "casename"]
-    return joined.fillna(0, subset=counts)
+    parts = wells.unionByName(count_dims(completion, case), allowMissingColumns=True)
+    names = [name for name in parts.columns if name != "casename"]
+    return parts.groupBy("casename").agg(
+        *[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in names]
+    )
 
 
 def first_per_case(fit_info):
