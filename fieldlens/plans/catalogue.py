@@ -6,9 +6,12 @@ volumes are rounded to six decimals, as the SQL they are compared with does.
 
 from pyspark.sql import functions as F
 
-from fieldlens.functions.measures import INJECTOR_STATUS, PHASES, PRODUCER_STATUS, fit_table
+from fieldlens.functions.labels import parse_date
+from fieldlens.functions.measures import (
+    INJECTOR_STATUS, PHASES, PRODUCER_STATUS, actual_rate, days_in_month, fit_rate, fit_table, month_date,
+)
 from fieldlens.operators import crossplot as xplot
-from fieldlens.operators import modelled, options, selection, series, summary, totals, wellmap
+from fieldlens.operators import joins, modelled, options, selection, series, summary, totals, wellmap
 from fieldlens.operators.filters import picks
 from fieldlens.plans.derived import DerivedTables
 from fieldlens.sources import artefacts
@@ -85,6 +88,34 @@ def _(t):
     return summary.fit_summary(t.fit_info)
 
 
+# Rows and column expressions
+
+
+@query("month_lengths")
+def _(t):
+    date = month_date("Year", "Month")
+    return t.productiondata.select(date.alias("date"), days_in_month(date).alias("days")).distinct()
+
+
+@query("parsed_dates")
+def _(t):
+    return t.dated_texts.select("key", parse_date("text").alias("date"))
+
+
+@query("measured_rates")
+def _(t):
+    rates = [actual_rate(phase).alias(phase) for phase in PHASES]
+    rows = joins.production_rows(t.productiondata, "Year", "Month", *rates)
+    return joins.with_completion(rows, t.completiondata, DIMS)
+
+
+@query("modelled_rates")
+def _(t):
+    rates = [fit_rate(phase, "50").alias(phase) for phase in PHASES if phase != "injectant"]
+    rows = joins.step_rows(t.producer_timestep, F.col("Date").alias("date"), *rates)
+    return joins.with_completion(rows, t.completiondata, DIMS, numbered=True)
+
+
 # Measured series
 
 
@@ -292,6 +323,12 @@ def _(t):
     return wellmap.well_paths(wellmap.well_points(t.completiondata, wells=WELLS))
 
 
+@query("map_groups_of_centroids")
+def _(t):
+    centroids = wellmap.well_centroids(t.completiondata, DIMS, wells=WELLS)
+    return wellmap.map_groups(centroids, DIMS).drop("hover_text")
+
+
 @query("map_groups_by_path")
 def _(t):
     points = wellmap.well_points(t.completiondata, wells=t.selected_points)

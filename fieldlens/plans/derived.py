@@ -23,7 +23,7 @@ SOURCES = {
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
     "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING, "
     "l_shipdate TIMESTAMP_NTZ",
-    "orders": "o_orderkey BIGINT, o_orderpriority STRING",
+    "orders": "o_orderkey BIGINT, o_orderpriority STRING, o_orderdate TIMESTAMP_NTZ",
 }
 COMPLETIONS_PER_WELL = 7
 BAND_FACTORS = dict(zip(PERCENTILES, (0.5, 0.75, 1.0, 1.25, 1.5)))
@@ -170,6 +170,12 @@ class DerivedTables:
             manifest.alias("manifest"),
         )
 
+    @cached_property
+    def dated_texts(self):
+        """Dates as a web service sends them, with a time behind."""
+        text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+        return self._read("orders").select(F.col("o_orderkey").alias("key"), text.alias("text"))
+
     @cached_property
     def selected_points(self):
         """Wells with a completion inside a band of latitude, as drawn on a map."""

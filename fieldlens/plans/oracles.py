@@ -363,6 +363,22 @@ SELECT casename, CAST(FitStartDate AS VARCHAR) AS fit_startdate, CAST(FitEndDate
 FROM fit_info"""
 
 
+MEASURED_RATES = """
+SELECT casename, measured.WellAPI AS well, CompSubId AS completion, Year, Month, Qo AS oil, Qo + Qw AS gross,
+  Qw AS water, Qs AS injectant, Qg AS gas, Reservoir, FaultBlock
+FROM measured"""
+
+MODELLED_RATES = """
+SELECT casename, WellId AS well, CompletionId AS completion, Date AS date, OilRateP50 AS oil,
+  GrossRateP50 AS gross, GrossRateP50 - OilRateP50 AS water, GasRateP50 AS gas, Reservoir, FaultBlock
+FROM producer_model"""
+
+CENTROID_GROUPS = f"""
+SELECT *, concat(Reservoir, '-', FaultBlock, '-', CASE WHEN is_selected THEN 'True' ELSE 'False' END)
+  AS group_label
+FROM ({CENTROIDS}) c"""
+
+
 def _options(status):
     return f"SELECT casename, WellName AS label, WellAPI AS value FROM well_choice WHERE Status = {status}"
 
@@ -376,6 +392,10 @@ ORACLES = {
     "case_summary_one_case": f"SELECT * FROM ({SUMMARY}) s WHERE casename = 'ASIA'",
     **COUNTS,
     "fit_summary": FIT_SUMMARY,
+    "month_lengths": "SELECT DISTINCT d AS date, CAST(days AS INT) AS days FROM measured",
+    "parsed_dates": "SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS date FROM orders",
+    "measured_rates": MEASURED_RATES,
+    "modelled_rates": MODELLED_RATES,
     "production_by_month": _production(),
     "production_by_reservoir": _production("Reservoir", "reservoir"),
     "production_by_faultblock": _production("FaultBlock", "faultblock"),
@@ -417,6 +437,7 @@ ORACLES = {
     "well_lines": WELL_LINES,
     "map_groups": MAP_GROUPS,
     "map_groups_by_path": PATH_GROUPS,
+    "map_groups_of_centroids": CENTROID_GROUPS,
     "well_options": "SELECT * FROM well_choice",
     "producer_options": _options(1),
     "injector_options": _options(2),

@@ -48,22 +48,18 @@ def _is_month():
 def check_tables(tables):
     """Raise if a completion or a case occurs twice: joins would multiply sums.
 
-    Completions are checked by id text and by id number, since measured rows join
-    by the first and modelled rows by the second.
+    Measured rows join by id text and modelled rows by id number, so ids that are
+    one number written in two ways count as the same. An unknown id joins nothing.
     """
-    require_unique(tables.completiondata, ["casename", "WellAPI", "CompSubId"], "completiondata")
-    numbered = tables.completiondata.select(
-        "casename", "WellAPI", F.expr("try_cast(CompSubId AS INT)").alias("completion_number")
-    )
-    require_unique(
-        numbered.dropna(), ["casename", "WellAPI", "completion_number"], "completiondata by number"
-    )
+    number = F.expr("coalesce(cast(try_cast(CompSubId AS INT) AS string), CompSubId)")
+    completions = tables.completiondata.select("casename", "WellAPI", number.alias("CompSubId"))
+    require_unique(completions, ["casename", "WellAPI", "CompSubId"], "completiondata")
     require_unique(tables.fit_info, ["casename"], "fit_info")
 
 
 def require_unique(df, keys, name):
-    """Raise ValueError with one example if a key occurs more than once."""
-    twice = df.groupBy(*keys).count().filter(F.col("count") > 1).take(1)
+    """Raise ValueError with one example if a known key occurs more than once."""
+    twice = df.dropna(subset=keys).groupBy(*keys).count().filter(F.col("count") > 1).take(1)
     if twice:
         raise ValueError(f"{name} is not unique by {keys}: {twice[0].asDict()}")
 
