@@ -45,7 +45,7 @@ def rounded(df, *columns):
 
 @query("list_cases")
 def _(t):
-    return list_cases(t.fit_info)
+    return list_cases(t.fit_runs)
 
 
 @query("case_summary")
@@ -85,7 +85,7 @@ def _(t):
 
 @query("fit_summary")
 def _(t):
-    return summary.fit_summary(t.fit_info)
+    return summary.fit_summary(t.fit_runs)
 
 
 # Rows and column expressions

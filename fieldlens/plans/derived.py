@@ -23,7 +23,8 @@ SOURCES = {
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
     "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING, "
     "l_shipdate TIMESTAMP_NTZ",
-    "orders": "o_orderkey BIGINT, o_orderpriority STRING, o_orderdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_orderpriority STRING, o_orderstatus STRING, "
+    "o_orderdate TIMESTAMP_NTZ",
 }
 COMPLETIONS_PER_WELL = 7
 BAND_FACTORS = dict(zip(PERCENTILES, (0.5, 0.75, 1.0, 1.25, 1.5)))
@@ -67,6 +68,21 @@ class DerivedTables:
             F.lit(1.0).alias("Dt"),
         )
 
+    @cached_property
+    def fit_runs(self):
+        """Case information with one case per order, some of unknown kind."""
+        start = F.col("o_orderdate").cast("date")
+        status = F.col("o_orderstatus")
+        backtest = F.when(status == "F", True).when(status == "O", False)
+        return self._read("orders").select(
+            F.concat(F.lit("RUN"), F.col("o_orderkey").cast("string")).alias("casename"),
+            start.alias("FitStartDate"),
+            F.date_add(start, 365).alias("FitEndDate"),
+            backtest.alias("IsBacktest"),
+            F.when(backtest, F.date_add(start, 270)).alias("BacktestEndDate"),
+            F.lit(1.0).alias("Dt"),
+        )
+
     @cached_property
     def completiondata(self):
         wells = (

@@ -7,6 +7,13 @@ WITH fit_info AS (
     r_regionkey % 2 = 0 AS IsBacktest,
     CASE WHEN r_regionkey % 2 = 0 THEN DATE '2000-01-01' END AS BacktestEndDate, CAST(1 AS DOUBLE) AS Dt
   FROM region
+), fit_runs AS (
+  SELECT concat('RUN', CAST(o_orderkey AS VARCHAR)) AS casename, CAST(o_orderdate AS DATE) AS FitStartDate,
+    CAST(o_orderdate AS DATE) + 365 AS FitEndDate,
+    CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS IsBacktest,
+    CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 270 END AS BacktestEndDate,
+    CAST(1 AS DOUBLE) AS Dt
+  FROM orders
 ), wells AS (
   SELECT r_name AS casename, s_suppkey AS wk, concat('W', CAST(s_suppkey AS VARCHAR)) AS WellAPI,
     s_name AS WellName
@@ -360,7 +367,7 @@ FIT_SUMMARY = """
 SELECT casename, CAST(FitStartDate AS VARCHAR) AS fit_startdate, CAST(FitEndDate AS VARCHAR) AS fit_enddate,
   CASE WHEN IsBacktest THEN 'BT' ELSE 'FF' END AS fit_type,
   CASE WHEN IsBacktest THEN CAST(BacktestEndDate AS VARCHAR) ELSE 'N/A' END AS backtest_enddate, Dt AS dt
-FROM fit_info"""
+FROM fit_runs"""
 
 
 MEASURED_RATES = """
@@ -387,7 +394,7 @@ CHOSEN = f"cWellAPI IN {WELLS} AND Reservoir IN {LAYERS}"
 ALL_CHOSEN = f"{CHOSEN} AND Compartment IN ('CMP_1') AND FaultBlock IN {FAULTBLOCKS}"
 
 ORACLES = {
-    "list_cases": "SELECT DISTINCT casename FROM fit_info ORDER BY casename LIMIT 5",
+    "list_cases": "SELECT DISTINCT casename FROM fit_runs ORDER BY casename LIMIT 5",
     "case_summary": SUMMARY,
     "case_summary_one_case": f"SELECT * FROM ({SUMMARY}) s WHERE casename = 'ASIA'",
     **COUNTS,
