@@ -1,22 +1,34 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
 from .bpe import op1_bpe
+from .html_text import op7_html_text
 from .langid import op3_language_id
 from .minhash import op5_near_duplicates
+from .neighbours import SQL as NEIGHBOURS_SQL
+from .neighbours import op9_nearest_neighbours
 from .packing import op8_packing
 from .quality import SQL as QUALITY_SQL
 from .quality import op6_quality_rules
 from .repeats import op10_repeated_passages
+from .rollups import op2_token_counts
+from .warc import SQL as WARC_SQL
+from .warc import op4_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLES = {
+    "op4_warc": WARC_SQL,
     "op6_quality_rules": QUALITY_SQL,
+    "op9_nearest_neighbours": NEIGHBOURS_SQL,
 }
