@@ -253,6 +253,17 @@ class Batch:
         return np.cumsum(edge[:-1]) > 0
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers place by place: in a sorted list the high places hardly change, so they compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(payload: bytes, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(payload, np.uint8, size * n, at).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n), at + size * n
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of one length: the length, then each column's type and values."""
     out = [np.int64(len(columns[0])).tobytes(), np.int64(len(columns)).tobytes()]
@@ -263,9 +274,9 @@ def pack(*columns: np.ndarray) -> bytes:
             # Documents of a batch are few: their places in a sorted list.
             values, at = np.unique(c, return_inverse=True)
             kind = b"H" if len(values) < 1 << 16 else b"I"
-            out += [kind, np.int64(len(values)).tobytes(), values.tobytes(), at.astype(kind.decode()).tobytes()]
+            out += [kind, np.int64(len(values)).tobytes(), _planes(values), _planes(at.astype(kind.decode()))]
         else:
-            out += [b"Q", c.tobytes()]
+            out += [b"Q", _planes(c)]
     return b"".join(out)
 
 
@@ -273,19 +284,17 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     n, k = (int(x) for x in np.frombuffer(payload, np.int64, 2))
     at, out = 16, []
     for _ in range(k):
-        kind, at = payload[at : at + 1], at + 1
-        if kind == b"?":
-            size = (n + 7) // 8
-            out.append(np.unpackbits(np.frombuffer(payload, np.uint8, size, at), count=n).astype(bool))
-        elif kind == b"Q":
-            size = 8 * n
-            out.append(np.frombuffer(payload, np.uint64, n, at))
+        kind, at = payload[at : at + 1].decode(), at + 1
+        if kind == "?":
+            out.append(np.unpackbits(np.frombuffer(payload, np.uint8, (n + 7) // 8, at), count=n).astype(bool))
+            at += (n + 7) // 8
+        elif kind == "Q":
+            column, at = _numbers(payload, "Q", n, at)
+            out.append(column)
         else:
-            m = int(np.frombuffer(payload, np.int64, 1, at)[0])
-            values = np.frombuffer(payload, np.int64, m, at + 8)
-            size = 8 + 8 * m + n * np.dtype(kind.decode()).itemsize
-            out.append(values[np.frombuffer(payload, kind.decode(), n, at + 8 + 8 * m)])
-        at += size
+            values, at = _numbers(payload, "q", int(np.frombuffer(payload, np.int64, 1, at)[0]), at + 8)
+            place, at = _numbers(payload, kind, n, at)
+            out.append(values[place])
     return out
 
 
