@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import stored
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -25,13 +25,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links(a, b)`` that is not the smallest of its component.
 
     Each round hangs every node on the smallest node it knows, from above and from below; rounds end when
-    no link changes, after about the logarithm of the longest path. Each round is settled.
+    no link changes, after about the logarithm of the longest path. Each round is stored.
     """
-    links = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = now
-        links = settled(_small(_large(links)))
+        links = stored(_small(_large(links)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, mixed, odd_numbers, settled, slices, table
+from .common import byte_view, mixed, odd_numbers, stored, slices, table
 from .components import components
 from .words import shingle_sets
 
@@ -90,7 +90,7 @@ def _prints(percent: int, width: int):
                         continue
                     digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
                     least = _minima(one, keys)
-                    all_bands.append(mixed((least.reshape(bands, ROWS) * inside).sum(axis=1, dtype=np.uint64)).view(np.int64))
+                    all_bands.append(mixed((least.reshape(bands, ROWS) * inside).sum(axis=1, dtype=np.uint64) + order[:bands]).view(np.int64))
                     spots = (mixed(least * order + order) >> np.uint64(55)).astype(np.int64)
                     parity = (np.bincount(spots, minlength=BITS) & 1).astype(np.uint8)
                     sketches.append(np.packbits(parity).tobytes())
@@ -142,7 +142,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
     wanted = dealt.select("a", "chunk", F.lit(1).alias("kind"), F.col("b").alias("id")).unionAll(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("kind"), F.col("a").alias("id"))
     )
-    rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    # Where few texts are wanted the planner sees it, and the other texts stay where they are.
+    rows = stored(wanted).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     laid = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind")
 
     def run(batches):
@@ -173,20 +174,20 @@ def _rest(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int
     in_part = found.select(F.col("node").alias("rep"), "component")
     members = buckets.join(in_part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     torn = (
-        members.groupBy("band", "value")
-        .agg(F.count("*").alias("m"), F.min("rep").alias("head"), F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        members.groupBy("bucket")
+        .agg(F.count("*").alias("m"), F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo <> hi")
-        .select("band", "value", "m", "head", "main")
+        .select("bucket", "m", "main")
     )
-    open_ = members.join(torn, ["band", "value"])
+    open_ = members.join(torn, "bucket")
     # The rows outside the main component are counted as well, as they make the blocks on the left.
-    few = open_.where("component <> main").groupBy("band", "value").agg(F.count("*").alias("few"))
+    few = open_.where("component <> main").groupBy("bucket").agg(F.count("*").alias("few"))
     full = (
-        open_.join(few, ["band", "value"])
+        open_.join(few, "bucket")
         .withColumn("right_blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("left_blocks", F.ceil(F.col("few") / BLOCK).cast("int"))
     )
-    cols = ["band", "value", "head", "main", "rep", "component"]
+    cols = ["bucket", "head", "main", "rep", "component"]
     spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     left = full.where("component <> main").select(*cols, F.lit(True).alias("is_left"), spot("left_blocks").alias("i"), F.explode(F.expr("sequence(0, right_blocks - 1)")).alias("j"))
     right = full.select(*cols, F.lit(False).alias("is_left"), F.explode(F.expr("sequence(0, left_blocks - 1)")).alias("i"), spot("right_blocks").alias("j"))
@@ -197,7 +198,8 @@ def _rest(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int
         rep, part, size = (group.column(x).to_numpy() for x in ("rep", "component", "n_shingles"))
         sketch = _sketch_words(group.column("sketch"))
         bands = np.stack(group.column("bands").to_numpy())
-        band, head, main = (group.column(x)[0].as_py() for x in ("band", "head", "main"))
+        bucket, head, main = (group.column(x)[0].as_py() for x in ("bucket", "head", "main"))
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
         rows, others = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         out_a, out_b = [], []
         for i in rows:
@@ -212,29 +214,32 @@ def _rest(buckets: DataFrame, classes: DataFrame, found: DataFrame, percent: int
         join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
         return pa.table({"a": join(out_a), "b": join(out_b)})
 
-    return rows.groupBy("band", "value", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
-    prints = settled(docs.mapInArrow(_prints(percent, width), PRINTS))
+    prints = stored(docs.mapInArrow(_prints(percent, width), PRINTS))
     real = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = settled(
+    classes = stored(
         real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     limit = sketch_limit(percent, band_count(percent) * ROWS)
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    heads = buckets.groupBy("band", "value").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = buckets.join(heads, ["band", "value"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    every = classes.select("rep", F.explode("bands").alias("bucket"))
+    heads = every.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Most buckets hold one class; the others are few and read several times.
+    buckets = stored(every.join(heads, "bucket"))
+    stars = buckets.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     # A doc_id that has several sets ties their classes together.
     member = real.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
     ties = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     tied = member.join(ties, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    links = settled(_confirmed(_sift(stars, classes, percent, limit).distinct(), docs, percent, width).unionAll(tied).distinct())
+    links = stored(_confirmed(_sift(stars, classes, percent, limit).distinct(), docs, percent, width).unionAll(tied).distinct())
     found = components(links)
-    more = settled(_confirmed(_rest(buckets, classes, found, percent, limit).distinct(), docs, percent, width))
-    if not more.isEmpty():
+    open_pairs = stored(_rest(buckets, classes, found, percent, limit).distinct())
+    if not open_pairs.isEmpty():
+        more = stored(_confirmed(open_pairs, docs, percent, width))
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
