@@ -41,7 +41,7 @@ MISS = 1e-7
 #: Bits of an odd sketch.
 BITS = 512
 #: Pairs with an estimate this far below the similarity are not confirmed; over six standard deviations.
-FLOOR = 0.3
+FLOOR = 0.2
 #: Classes of a bucket compared at a time.
 BLOCK = 512
 #: Documents confirmed against one document by a task in one go.
