@@ -54,7 +54,7 @@ def main():
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
-        f"local[{cores}]", cores, spark_driver_memory="8g", spark_ui_showConsoleProgress="false"
+        f"local[{cores}]", cores, spark_driver_memory="8g", spark_ui_showConsoleProgress="false", spark_ui_enabled="false"
     )
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -63,9 +63,17 @@ def fit_band(series, phase, band="25-75", dims=()):
 
 
 def actual_with_band(actual, fit, dims, phase):
-    """Measured rows next to the modelled rates of the same group and date."""
+    """Measured and modelled rates of the same group and date side by side.
+
+    A date or group that only one of them has stays, as the months after the last measured one do.
+    """
     groups = group_columns(dims)
     left, right = actual.alias("a"), fit.alias("f")
     same = [F.col(f"a.{key}").eqNullSafe(F.col(f"f.{key}")) for key in ["casename", "date", *groups]]
     rates = [name for name in fit.columns if name.startswith(f"{phase}_rate_p")]
-    return left.join(right, same, "left").select("a.*", "f.type_of_fit", *[f"f.{name}" for name in rates])
+    keys = ["casename", "date", *groups]
+    return left.join(right, same, "full").select(
+        *[F.coalesce(f"a.{name}", f"f.{name}").alias(name) if name in keys else f"a.{name}" for name in actual.columns],
+        "f.type_of_fit",
+        *[f"f.{name}" for name in rates],
+    )

@@ -65,6 +65,8 @@ def _production_by(production, completion, dim, name, case, fanout, ordered):
         *[F.col(column).alias(rate) for rate, column in rates.items()],
         case=case,
     )
+    if completion is None and (fanout or dims):
+        raise ValueError("fanout needs the completions")
     if fanout:
         # A row without completion id matches no completion and is counted once.
         has_id = F.col("completion").isNotNull().alias("has_id")

@@ -10,7 +10,6 @@ from fieldlens.operators.selection import flag_wells, hide_unselected_wells
 # Fixed values.
 COORDINATES = {"Latitude": "Latitude", "Longitude": "Longitude", "Easting": "X", "Northing": "Y"}
 PATH_KEYS = ("casename", "WellAPI", "is_selected")
-POINTS_PER_LINE = 1000
 
 
 def _without_wells(chosen):
@@ -54,15 +53,24 @@ def well_paths(points):
     return number_rows(known, list(PATH_KEYS), order, "point_no")
 
 
-def well_lines(paths, points_per_line=POINTS_PER_LINE):
+def well_lines(paths, points_per_line):
     """Numbered points as lines, one row each.
 
-    A path longer than `points_per_line` goes on in further lines, so a row never
-    grows beyond that.
+    A path longer than `points_per_line` goes on in further lines, each beginning with the
+    last point of the one before, so no segment is lost and a row never grows beyond that.
     """
-    line = F.floor((F.col("point_no") - 1) / points_per_line).cast("int").alias("line_no")
+    if points_per_line < 2:
+        raise ValueError("a line needs two points at least")
+    step = points_per_line - 1
+    at = F.floor((F.col("point_no") - 1) / step).cast("int")
+    ends_one = (F.col("point_no") > 1) & ((F.col("point_no") - 1) % step == 0)
+    placed = paths.withColumn(
+        "line_no", F.explode(F.when(ends_one, F.array(at - 1, at)).otherwise(F.array(at)))
+    )
     point = F.struct("point_no", "Longitude", "Latitude")
-    lines = paths.groupBy(*PATH_KEYS, line).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    lines = placed.groupBy(*PATH_KEYS, "line_no").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    # The last point of a path may also begin a line that has nothing else.
+    lines = lines.filter((F.col("line_no") == 0) | (F.size("points") > 1))
     return lines.select(
         *PATH_KEYS, "line_no",
         F.col("points.Longitude").alias("longitudes"),

@@ -44,6 +44,11 @@ def rounded(df, *columns):
 
 
 @query("list_cases")
+def _(t):
+    return list_cases(t.fit_runs, 5)
+
+
+@query("list_all_cases")
 def _(t):
     return list_cases(t.fit_runs)
 
@@ -338,7 +343,13 @@ def _(t):
 @query("well_lines")
 def _(t):
     paths = wellmap.well_paths(wellmap.well_points(t.completiondata, wells=t.selected_points))
-    return wellmap.well_lines(paths)
+    return wellmap.well_lines(paths, 1000)
+
+
+@query("well_lines_short")
+def _(t):
+    paths = wellmap.well_paths(wellmap.well_points(t.completiondata, wells=t.selected_points))
+    return wellmap.well_lines(paths, 3)
 
 
 @query("map_groups")

@@ -267,8 +267,9 @@ FROM ({_fit('oil', dims=('Compartment',))}) s
 GROUP BY casename, coalesce(Compartment, 'NA'), type_of_fit"""
 
 ACTUAL_WITH_BAND = f"""
-SELECT a.*, f.type_of_fit, f.oil_rate_p50, f.oil_rate_p25, f.oil_rate_p75
-FROM ({_actual('oil', ('Reservoir',))}) a LEFT JOIN ({_fit('oil', dims=('Reservoir',))}) f
+SELECT a.* REPLACE (coalesce(a.casename, f.casename) AS casename, coalesce(a.date, f.date) AS date,
+    coalesce(a.Reservoir, f.Reservoir) AS Reservoir), f.type_of_fit, f.oil_rate_p50, f.oil_rate_p25, f.oil_rate_p75
+FROM ({_actual('oil', ('Reservoir',))}) a FULL JOIN ({_fit('oil', dims=('Reservoir',))}) f
   ON a.casename = f.casename AND a.date = f.date AND a.Reservoir IS NOT DISTINCT FROM f.Reservoir"""
 
 SERIES_GROUPS = f"""
@@ -305,6 +306,18 @@ SELECT casename, WellAPI, is_selected, 0 AS line_no,
   list(Longitude ORDER BY TD, CompSubId) AS longitudes, list(Latitude ORDER BY TD, CompSubId) AS latitudes
 FROM ({WELL_POINTS}) p GROUP BY casename, WellAPI, is_selected"""
 
+# Segments between neighbours, gathered by twos: the line of a segment holds its end as well.
+WELL_LINES_SHORT = f"""
+WITH o AS (SELECT *, row_number() OVER w AS n, lead(Longitude) OVER w AS x2, lead(Latitude) OVER w AS y2,
+    count(*) OVER (PARTITION BY casename, WellAPI, is_selected) AS size
+  FROM ({WELL_POINTS}) p WINDOW w AS (PARTITION BY casename, WellAPI, is_selected ORDER BY TD, CompSubId)),
+s AS (SELECT *, CAST((n - 1) // 2 AS INT) AS line_no FROM o WHERE n < size OR size = 1)
+SELECT casename, WellAPI, is_selected, line_no,
+  list_concat(list(Longitude ORDER BY n), CASE WHEN max(size) > 1 THEN [arg_max(x2, n)] ELSE [] END) AS longitudes,
+  list_concat(list(Latitude ORDER BY n), CASE WHEN max(size) > 1 THEN [arg_max(y2, n)] ELSE [] END) AS latitudes
+FROM s GROUP BY casename, WellAPI, is_selected, line_no"""
+WELL_LINES_SHORT = "SELECT * FROM (" + WELL_LINES_SHORT + ") q"
+
 MAP_GROUPS = f"""
 SELECT casename, Compartment, Type, {POINT_COLUMNS}, WellAPI IN {WELLS} AS is_selected,
   concat(Compartment, '-', Type, '-', CASE WHEN WellAPI IN {WELLS} THEN 'True' ELSE 'False' END) AS group_label,
@@ -395,6 +408,7 @@ ALL_CHOSEN = f"{CHOSEN} AND Compartment IN ('CMP_1') AND FaultBlock IN {FAULTBLO
 
 ORACLES = {
     "list_cases": "SELECT DISTINCT casename FROM fit_runs ORDER BY casename LIMIT 5",
+    "list_all_cases": "SELECT DISTINCT casename FROM fit_runs ORDER BY casename",
     "case_summary": SUMMARY,
     "case_summary_one_case": f"SELECT * FROM ({SUMMARY}) s WHERE casename = 'ASIA'",
     **COUNTS,
@@ -442,6 +456,7 @@ ORACLES = {
     "well_points_hide_unselected": WELL_POINTS_HIDE,
     "well_paths": WELL_PATHS,
     "well_lines": WELL_LINES,
+    "well_lines_short": WELL_LINES_SHORT,
     "map_groups": MAP_GROUPS,
     "map_groups_by_path": PATH_GROUPS,
     "map_groups_of_centroids": CENTROID_GROUPS,

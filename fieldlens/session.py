@@ -15,7 +15,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Call sites are not recorded per column, which halves the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    "spark.ui.enabled": "false",
 }
 
 

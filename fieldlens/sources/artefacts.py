@@ -19,10 +19,13 @@ def latest_prediction(predictions, fit="fit", name="name", order="seq"):
 
 
 def artefact_paths(manifests, keys, manifest="manifest"):
-    """Every (stage, file, path) of a JSON manifest, one row each."""
+    """Every (stage, file, path) of a JSON manifest, one row each.
+
+    A broken or empty manifest stays as a row with NULL for what it lacks.
+    """
     parsed = manifests.select(*keys, F.from_json(manifest, MANIFEST).alias("m"))
-    stages = parsed.select(*keys, F.explode("m.files").alias("stage", "entries"))
-    return stages.select(*keys, "stage", F.explode("entries").alias("file", "path"))
+    stages = parsed.select(*keys, F.explode_outer("m.files").alias("stage", "entries"))
+    return stages.select(*keys, "stage", F.explode_outer("entries").alias("file", "path"))
 
 
 def artefact_path(manifest, stage, file):
@@ -31,10 +34,10 @@ def artefact_path(manifest, stage, file):
     return F.try_element_at(F.try_element_at(files, F.lit(stage)), F.lit(file))
 
 
-def read_json_artefact(spark, paths, schema=None):
-    """JSON documents, one or many, with the file they came from."""
+def read_json_artefact(spark, paths, schema=None, lines=False):
+    """JSON documents, one or many, with the file they came from; `lines` if each line is one."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(paths, multiLine=True).withColumn("source_file", F.input_file_name())
+    return reader.json(paths, multiLine=not lines).withColumn("source_file", F.input_file_name())
 
 
 def read_csv_artefact(spark, paths, schema=None):

@@ -1,9 +1,13 @@
 """JSON records in, records out."""
 
 
-def read_records(spark, path, schema):
-    """A file (or files) holding a JSON list of records."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_records(spark, path, schema, lines=True):
+    """JSON records: one per line, as `write_records` leaves them, or with `lines=False` a list per file.
+
+    Files of lines can be split between tasks, a list can't. A record that is no JSON of the
+    schema stops the read.
+    """
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def write_records(df, path, fmt="json", mode="errorifexists"):

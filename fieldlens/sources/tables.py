@@ -64,6 +64,7 @@ def require_unique(df, keys, name):
         raise ValueError(f"{name} is not unique by {keys}: {twice[0].asDict()}")
 
 
-def list_cases(fit_info, n=5):
-    """The first n case names."""
-    return fit_info.select("casename").distinct().orderBy("casename").limit(n)
+def list_cases(fit_info, n=None):
+    """Case names in order: all, or the first n."""
+    cases = fit_info.select("casename").distinct().orderBy("casename")
+    return cases if n is None else cases.limit(n)

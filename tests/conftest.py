@@ -11,7 +11,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 def spark(tmp_path_factory):
     from fieldlens.session import build_session
 
-    session = build_session("local[8]", 8, spark_driver_memory="4g", spark_ui_showConsoleProgress="false")
+    session = build_session("local[8]", 8, spark_driver_memory="4g", spark_ui_showConsoleProgress="false", spark_ui_enabled="false")
     session.sparkContext.setLogLevel("ERROR")
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))

@@ -338,7 +338,10 @@ def test_paths_run_by_depth_and_lines_stay_bounded(spark):
     assert [row[0] for row in paths.orderBy("point_no").select("Longitude").collect()] == ordered
     lines = wellmap.well_lines(paths, points_per_line=7).orderBy("line_no").collect()
     assert max(len(line.longitudes) for line in lines) == 7
-    assert [value for line in lines for value in line.longitudes] == ordered
+    assert [value for line in lines for value in line.longitudes[line.line_no > 0 :]] == ordered
+    assert all(a.longitudes[-1] == b.longitudes[0] for a, b in zip(lines, lines[1:], strict=False))
+    pairs = wellmap.well_lines(paths, points_per_line=2).orderBy("line_no").collect()
+    assert [tuple(line.longitudes) for line in pairs] == list(zip(ordered, ordered[1:], strict=False))
 
 
 def test_map_groups_leave_unknown_groups_out(spark):
@@ -402,3 +405,18 @@ def test_merged_selection_is_sorted_and_distinct(spark):
     current = spark.createDataFrame([("A", "producers", "b"), ("A", "layers", "z")], kind)
     merged = [tuple(row) for row in selection.merge_selection(new, current).collect()]
     assert merged == [("A", "layers", "z"), ("A", "producers", "a"), ("A", "producers", "b")]
+
+
+def test_fanout_needs_completions(spark):
+    with pytest.raises(ValueError, match="completions"):
+        series.production_by_month(production(spark, {}), fanout=True)
+
+
+def test_the_forecast_stays_next_to_the_measured_rows(spark):
+    actual = spark.createDataFrame([("A", datetime.date(2020, 1, 1), "f", 1.0)], "casename string, date date, field string, oil double")
+    fit = spark.createDataFrame(
+        [("A", datetime.date(2020, 2, 1), "f", "validation", 2.0, 1.0, 3.0)],
+        "casename string, date date, field string, type_of_fit string, oil_rate_p50 double, oil_rate_p25 double, oil_rate_p75 double",
+    )
+    both = modelled.actual_with_band(actual, fit, (), "oil").orderBy("date").collect()
+    assert [(str(r.date), r.field, r.oil, r.oil_rate_p50) for r in both] == [("2020-01-01", "f", 1.0, None), ("2020-02-01", "f", None, 2.0)]
