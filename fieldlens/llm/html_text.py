@@ -347,7 +347,7 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                     used, own = features(nodes)
                     trees.append((root, used, len(rows)))
                     rows += own
-                p = model.probability(np.array(rows, float).reshape(len(rows), -1))
+                p = model.probability(np.array(rows, float)) if rows else np.zeros(0)
                 texts = [rendered(root, _decoded(used, p[first : first + len(used)])) for root, used, first in trees]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
