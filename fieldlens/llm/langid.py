@@ -156,7 +156,7 @@ def fused(rows: DataFrame) -> DataFrame:
     n = len(labels)
     scored = settled(
         _scored(rows, labels, weights)
-        .withColumn("text_at", F.expr("array_position(scores, array_max(scores)) - 1").cast("int"))
+        .withColumn("text_at", F.expr("nullif(array_position(scores, array_max(scores)), 0) - 1").cast("int"))
         .withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
     )
     real = scored.where("text_at is not null")
@@ -186,16 +186,16 @@ def fused(rows: DataFrame) -> DataFrame:
             + ")"
         ),
     )
-    best = F.expr("array_position(_log, array_max(_log)) - 1").cast("int")
+    best = F.expr("nullif(array_position(_log, array_max(_log)), 0) - 1").cast("int")
     return (
         out.withColumn("_best", best)
         .withColumn("posterior", F.coalesce(F.expr("1 / aggregate(transform(_log, x -> exp(x - array_max(_log))), 0D, (x, y) -> x + y)"), F.lit(0.0)))
         .select(
             "id",
-            F.coalesce(names[F.col("_best")], F.lit("und")).alias("language"),
+            F.coalesce(F.get(names, F.col("_best")), F.lit("und")).alias("language"),
             "posterior",
             (F.col("_best").isNotNull() & (F.col("posterior") >= LEAST)).alias("kept"),
-            F.coalesce(names[F.col("text_at")], F.lit("und")).alias("text_language"),
+            F.coalesce(F.get(names, F.col("text_at")), F.lit("und")).alias("text_language"),
         )
     )
 
