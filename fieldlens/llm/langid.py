@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, settled, slices, table
+from .common import byte_view, settled, slices, stored, table
 
 LANGUAGES = 200
 SAMPLE = 500
@@ -209,7 +209,9 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     The verdict needs the row and some small tables, so rows that repeat a doc_id with another text all go if one of them does.
     """
-    gone = language_of_documents(docs).where("not kept").select(F.col("id").alias("doc_id")).distinct()
+    # Stored, as a filter on the verdict would else be pushed into the sums that make it.
+    verdicts = stored(language_of_documents(docs).select(F.col("id").alias("doc_id"), "kept"))
+    gone = verdicts.where("not kept").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, stored, table
 
 #: Fixed values of the contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -141,12 +141,13 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``.
+    """The documents that pass, with the columns of ``docs``, whatever their names.
 
-    Measured twice, for the hosts and for the rows, as moving every text to its measures costs more.
+    Rows and measures are stored once: a filter on the verdict would else be pushed into the measures, which are
+    then computed anew for each place of a text.
     """
-    verdicts = host_verdicts(measures(docs.select("source", "text")).drop("text"))
-    return judged(measures(docs), verdicts).where("kept").select(*docs.columns)
+    measured = stored(measures(docs.select(F.struct(*docs.columns).alias("_row"), "source", "text")).drop("text"))
+    return judged(measured, host_verdicts(measured)).where("kept").select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
