@@ -55,7 +55,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn(
             "_runs",
             F.expr(
-                "case when n_words >= 3 then array_sort(transform(sequence(1, cast(n_words as int) - 2), i ->"
+                "case when n_words >= 3 then sort_array(transform(sequence(1, cast(n_words as int) - 2), i ->"
                 " struct(xxhash64(_words[i - 1], _words[i], _words[i + 1]) as h, i as at))) end"
             ),
         )
@@ -63,7 +63,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn(
             "_at",
             F.expr(
-                "array_sort(transform(filter(_runs, (r, i) -> (i > 0 and _runs[i - 1].h = r.h)"
+                "sort_array(transform(filter(_runs, (r, i) -> (i > 0 and _runs[i - 1].h = r.h)"
                 " or (i + 1 < size(_runs) and _runs[i + 1].h = r.h)), r -> r.at))"
             ),
         )
