@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_view, mixed, table, text_bytes
 
@@ -379,7 +380,7 @@ def repeated_passages(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
 
     carried = [docs.schema[c] for c in carry]
     out = "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
-    schema = out + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    schema = T.StructType([*T.StructType.fromDDL(out), *carried])
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -417,10 +418,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     A document of which nothing is left stays as an empty text.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = repeated_passages(docs, others)
-    text = F.expr("decode(kept, 'UTF-8')")
-    return cut.withColumn("text", F.replace(text, F.lit("�"), F.lit(""))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    # The row travels as one column, so its names clash with none of the operator's.
+    others = [c for c in docs.columns if c != "text"]
+    cut = repeated_passages(docs.select("doc_id", "text", F.struct(*others).alias("_row")), ("_row",))
+    left = F.col("kept").cast("string")
+    whole = F.coalesce(F.try_validate_utf8(left), F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return cut.select(whole.alias("_text"), "_row").select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
