@@ -7,12 +7,16 @@ from .minhash import op5_near_duplicates
 from .neighbours import SQL as NEIGHBOURS_SQL
 from .neighbours import op9_nearest_neighbours
 from .packing import op8_packing
+from .prefixes import SQL as TRIE_SQL
+from .prefixes import op11_conversation_trie
 from .quality import SQL as QUALITY_SQL
 from .quality import op6_quality_rules
 from .repeats import op10_repeated_passages
 from .rollups import op2_token_counts
+from .simhash import op12_simhash
 from .warc import SQL as WARC_SQL
 from .warc import op4_warc
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -25,10 +29,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
     "op4_warc": WARC_SQL,
     "op6_quality_rules": QUALITY_SQL,
     "op9_nearest_neighbours": NEIGHBOURS_SQL,
+    "op11_conversation_trie": TRIE_SQL,
 }
