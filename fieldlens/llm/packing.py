@@ -19,15 +19,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import public_path, read_tokenizer
-from .common import settled, table
+from .common import byte_view, slices, stored, table
 
 WINDOW = 4096
 #: Tokens of a shard.
 SHARD = 1 << 21
+#: Shards dealt to a partition, about.
+TOGETHER = 4
+#: Bytes of text tokenized together.
+SLICE = 1 << 22
+#: ASCII white space as blanks.
+BLANKED = np.arange(256, dtype=np.uint8)
+BLANKED[9:14] = 32
 #: The end token of a document (the contract's).
 END = 2
 K1, B = 1.2, 0.75
@@ -36,9 +44,10 @@ KEPT = 1 << 18
 
 
 class Chunks:
-    """Ids of texts by a tokenizer that never joins what white space parts: chunks between ASCII white space repeat.
+    """Ids of texts by a tokenizer that never joins what white space parts.
 
-    Two generations of bounded size are kept; new chunks go to the tokenizer together.
+    Texts are cut at ASCII white space as whole Arrow columns, each distinct chunk of a column is looked up once, and ids are gathered
+    by place. Two generations of bounded size are kept; new chunks go to the tokenizer together.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -49,31 +58,47 @@ class Chunks:
         self.tokenizer.no_padding()
         self.new, self.old = {"": b""}, {}
 
-    def __call__(self, text: str) -> bytes:
-        for other in "\n\r\t\v\f":
-            if other in text:
-                text = text.replace(other, " ")
-        chunks = text.split(" ")
+    def _looked_up(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.new.get, chunks))
-        if None in found:
-            missing = list(dict.fromkeys(c for c, ids in zip(chunks, found, strict=True) if ids is None and c not in self.old))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        if lacking:
+            missing = [chunks[i] for i in lacking if chunks[i] not in self.old]
+            own = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
             if len(self.new) > KEPT:
-                self.old, self.new = self.new, {"": b""}
-                missing = list(dict.fromkeys(c for c in chunks if c not in self.old))
-            own = {}
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                own[c] = np.array(e.ids, "<u4").tobytes()
-            for c in dict.fromkeys(chunks):
-                if c not in self.new:
-                    self.new[c] = own[c] if c in own else self.old[c]
-            found = [self.new[c] for c in chunks]
-        return b"".join(found)
-
-
-def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit integers, the end token last)."""
+                self.old, self.new, before = self.new, {"": b""}, self.old
+            else:
+                before = self.old
+            for i in lacking:
+                c = chunks[i]
+                found[i] = self.new[c] = own[c] if c in own else before[c]
+        return found
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as bytes and offsets, one after the other, and how many each text has."""
+        texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(BLANKED[data]))
+        lists = pc.split_pattern(texts, " ")
+        coded = pc.dictionary_encode(lists.values)
+        held = self._looked_up(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in held], np.int64)
+        every = np.frombuffer(b"".join(held), "<u4")
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        starts = np.cumsum(sizes) - sizes
+        ids = every[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.diff(np.r_[0, ends][lists.offsets.to_numpy()])
+
+
+def id_type(path: str) -> str:
+    """The smallest unsigned type that holds every id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_str(read_tokenizer(path)).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, path: str, end: int = END, kind: str = "<u4") -> DataFrame:
+    """doc_id, n_tokens, ids (packed little-endian unsigned integers of type ``kind``, the end token last)."""
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches):
         import os
@@ -81,25 +106,29 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chunks = Chunks(shared.value)
         for batch in batches:
-            ids, held, first = [], 0, 0
-            for i, text in enumerate(batch.column("text")):
-                ids.append(chunks(text.as_py() or "") + last)
-                held += len(ids[-1])
-                if held > 1 << 23 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-                    ids, held, first = [], 0, i + 1
+            data, offsets = byte_view(batch.column("text"))
+            for first, last in slices(offsets, SLICE):
+                ids, counts = chunks(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                ends = np.cumsum(counts + 1)
+                out = np.full(int(ends[-1]), end, kind)
+                own = np.ones(len(out), bool)
+                own[ends - 1] = False
+                out[own] = ids
+                bounds = (np.r_[0, ends] * out.itemsize).astype(np.int32)
+                packed_ids = pa.BinaryArray.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(counts + 1), packed_ids], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def document_counts(tokens: DataFrame) -> tuple[int, np.ndarray]:
+def document_counts(tokens: DataFrame, kind: str = "<u4") -> tuple[int, np.ndarray]:
     """The number of documents, and for each token how many hold it."""
 
     def run(batches):
         counts, n = np.zeros(1, np.int64), 0
         for batch in batches:
             for ids in batch.column("ids"):
-                own = np.unique(np.frombuffer(ids.as_buffer(), "<u4"))
+                own = np.unique(np.frombuffer(ids.as_buffer(), kind))
                 if own[-1] >= len(counts):
                     counts = np.pad(counts, (0, int(own[-1]) + 1 - len(counts)))
                 counts[own] += 1
@@ -222,10 +251,11 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 def packed(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD, end: int = END) -> DataFrame:
     """One row per piece with its ids; a sequence's id is its shard times 2^32 plus its place there."""
-    tokens = settled(tokenized(docs, path, end))
+    kind = id_type(path)
+    tokens = stored(tokenized(docs, path, end, kind))
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     shards = math.ceil(total / shard) or 1
-    n, counts = document_counts(tokens)
+    n, counts = document_counts(tokens, kind)
     idf = np.zeros(max(len(counts), 1), np.float32)
     held = counts > 0
     idf[held] = np.maximum(0, np.log((n - counts[held] + 0.5) / (counts[held] + 0.5)))
@@ -233,18 +263,19 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD,
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        raw = [np.frombuffer(x.as_py(), "<u4") for x in group.column("ids")]
+        raw = [np.frombuffer(x.as_py(), kind) for x in group.column("ids")]
         rows = [(i, first, k, s, o) for s, seq in enumerate(fill(list(raw), shared.value, window)) for (i, first, k), o in zip(seq, np.cumsum([0] + [p[2] for p in seq]).tolist(), strict=False)]
         i, first, k, s, o = (np.array(c, np.int64) for c in zip(*rows, strict=True))
         base = group.column("shard")[0].as_py() << 32
         return pa.table({
             "doc_id": group.column("doc_id").take(pa.array(i)), "start": first, "length": k,
-            "ids": pa.array([raw[a][b : b + c].tobytes() for a, b, c in zip(i, first, k, strict=True)], pa.binary()),
+            "ids": pa.array([raw[a][b : b + c].astype("<u4").tobytes() for a, b, c in zip(i, first, k, strict=True)], pa.binary()),
             "doc_tokens": group.column("n_tokens").take(pa.array(i)), "sequence_id": s + base, "offset": o,
         })
 
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, PIECES)
+    # A task packs some shards one after the other, whatever the session's partitions are.
+    return dealt.repartition(math.ceil(shards / TOGETHER), "shard").groupBy("shard").applyInArrow(pack, PIECES)
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
