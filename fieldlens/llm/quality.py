@@ -50,7 +50,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("word_chars", F.char_length(F.translate(own, SPACE, "")).cast("long"))
         .withColumn("n_symbols", (F.char_length(own) - F.char_length(F.translate(own, SYMBOLS, ""))).cast("long"))
         .withColumn("_lines", F.filter(F.split(own, "\n"), lambda x: x.rlike(WORD)))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+        .withColumn("n_lines", F.size("_lines").cast("long"))
+        .withColumn("n_dup_lines", (F.col("n_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .drop("_lines")
         .withColumn(
             "_runs",
@@ -88,7 +89,7 @@ def failures() -> dict[str, Column]:
     return {
         "base": F.col("base_failed"),
         "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars"),
-        "lines": (F.col("n_words") > 0) & (100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_words")),
+        "lines": 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines"),
     }
 
 
@@ -96,22 +97,24 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
     """One row per host: its documents, its shrunk rate by rule, and whether it fails.
 
     The prior of a rule has the mean m of all documents and the strength s = m(1 - m)/v - 1, v
-    being the variance of the hosts' rates; without spread between hosts the strength is the number of
-    documents of a mean host.
+    being the variance of the hosts' rates less what chance adds to it, m(1 - m) times the mean of 1/n; without spread
+    beyond chance the strength is the number of documents of a mean host.
     """
     fails = failures()
-    hosts = settled(
+    hosts = stored(
         measured.where(F.col(host).isNotNull())
         .groupBy(host)
         .agg(F.count("*").alias("n"), *[F.count_if(fails[r]).alias(f"n_{r}") for r in RULES])
     )
     prior = hosts.agg(
         F.avg("n").alias("n"),
+        F.avg(1 / F.col("n")).alias("chance"),
         *[(F.sum(f"n_{r}") / F.sum("n")).alias(f"m_{r}") for r in RULES],
         *[F.var_pop(F.col(f"n_{r}") / F.col("n")).alias(f"v_{r}") for r in RULES],
     ).first()
     for r in RULES:
-        m, v = prior[f"m_{r}"] or 0.0, prior[f"v_{r}"] or 0.0
+        m = prior[f"m_{r}"] or 0.0
+        v = (prior[f"v_{r}"] or 0.0) - m * (1 - m) * (prior["chance"] or 0.0)
         strength = max(1.0, m * (1 - m) / v - 1 if v > 0 else prior["n"] or 0.0)
         hosts = hosts.withColumn(f"rate_{r}", (F.col(f"n_{r}") + m * strength) / (F.col("n") + strength))
     failed = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > limit
@@ -143,11 +146,12 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``, whatever their names.
 
-    Rows and measures are stored once: a filter on the verdict would else be pushed into the measures, which are
-    then computed anew for each place of a text.
+    Texts are measured twice, for the hosts and for themselves, and neither shuffled nor stored. The row's number keeps the filter on the
+    verdict above the measures; pushed into them, it would compute them anew for each place that names them.
     """
-    measured = stored(measures(docs.select(F.struct(*docs.columns).alias("_row"), "source", "text")).drop("text"))
-    return judged(measured, host_verdicts(measured)).where("kept").select("_row.*")
+    verdicts = host_verdicts(measures(docs.select("source", "text")).drop("text"))
+    rows = measures(docs.select(F.struct(*docs.columns).alias("_row"), "source", "text")).drop("text")
+    return judged(rows.withColumn("_number", F.monotonically_increasing_id()), verdicts).where("kept and _number >= 0").select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +168,7 @@ r AS (
   SELECT doc_id, source, len(ws) AS n_words,
     CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
-    len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
     ws, row_number() OVER () AS k
   FROM w),
 g AS (SELECT k, ws, unnest(range(1, n_words - 1)) AS i FROM r WHERE n_words >= 3),
@@ -172,18 +176,20 @@ h AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) A
 p AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nxt FROM h WHERE c >= 2),
 q AS (SELECT k, CAST(sum(least(3, coalesce(nxt - i, 3))) AS BIGINT) AS n_repeat_words FROM p GROUP BY k),
 m AS (
-  SELECT doc_id, source, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines,
+  SELECT doc_id, source, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words,
     (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AS base_failed
   FROM r LEFT JOIN q USING (k)),
 f AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS a,
     count(*) FILTER (100 * n_symbols > 10 * word_chars) AS b,
-    count(*) FILTER (n_words > 0 AND 100 * n_dup_lines > 30 * n_words) AS c
+    count(*) FILTER (100 * n_dup_lines > 30 * n_lines) AS c
   FROM m WHERE source IS NOT NULL GROUP BY source),
+e AS (
+  SELECT avg(n) AS mn, avg(1 / n) AS chance, sum(a) / sum(n) AS ma, sum(b) / sum(n) AS mb, sum(c) / sum(n) AS mc,
+    var_pop(a / n) AS wa, var_pop(b / n) AS wb, var_pop(c / n) AS wc FROM f),
 o AS (
-  SELECT avg(n) AS mn, sum(a) / sum(n) AS ma, sum(b) / sum(n) AS mb, sum(c) / sum(n) AS mc,
-    var_pop(a / n) AS va, var_pop(b / n) AS vb, var_pop(c / n) AS vc FROM f),
+  SELECT *, wa - ma * (1 - ma) * chance AS va, wb - mb * (1 - mb) * chance AS vb, wc - mc * (1 - mc) * chance AS vc FROM e),
 s AS (
   SELECT source, n, a, b, c, ma, mb, mc,
     greatest(1.0, CASE WHEN va > 0 THEN ma * (1 - ma) / va - 1 ELSE mn END) AS sa,
