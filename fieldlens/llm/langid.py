@@ -9,10 +9,10 @@ For each language l the log posterior is the sum of
 - log P(l | host): the host's counts, smoothed towards its domain, which is smoothed towards all rows.
 
 Counts come from grouped aggregation over all rows; only the classifier of text sees a sample, of at most
-``SAMPLE`` rows for each of at most ``LANGUAGES`` languages (the most frequent).
+``SAMPLE`` rows, the first ``SAMPLE_BYTES`` characters of each, for each of at most ``LANGUAGES`` languages (the most frequent).
 
-Defined cases: a text without letters, or null, has language 'und' and is not kept, whatever is declared; null declared
-language, suffix or host is no evidence; repeated rows count each; in a table without any label all rows are 'und'; extra columns
+Defined cases: a text without letters (signs and digits are none), or null, has language 'und' and is not kept, whatever is declared; null declared
+language, suffix or host is no evidence; repeated rows count each; of languages with equal evidence the first by name wins; in a table without any label all rows are 'und'; extra columns
 are carried by ``kept_documents`` and ignored elsewhere.
 """
 
@@ -20,14 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_view, settled, slices, stored, table
+from .common import byte_view, slices, stored, table
 
 LANGUAGES = 200
 SAMPLE = 500
-#: Bytes of a sample row that are learnt from.
+#: Characters of a sample row that are learnt from; only learning cuts a text.
 SAMPLE_BYTES = 20_000
 BUCKETS = 1 << 14
 TEMPER = 0.25
@@ -43,12 +44,29 @@ LETTER = np.zeros(256, np.uint32)
 LETTER[97:123] = np.arange(97, 123)
 LETTER[65:91] = np.arange(97, 123)
 LETTER[128:] = np.arange(128, 256)
-#: Signs of Latin-1 and punctuation beyond ASCII still count as letters; they are rare and learnt like others.
+#: Signs that are no letters (fixed values): UTF-8 lead byte, second byte from and to, bytes. Latin-1 signs but for three letters among them,
+#: times and divide, general punctuation to currency, arrows to dingbats, CJK punctuation, full-width punctuation.
+SIGNS = (
+    (0xC2, 0xA0, 0xA9, 2), (0xC2, 0xAB, 0xB4, 2), (0xC2, 0xB6, 0xB9, 2), (0xC2, 0xBB, 0xBF, 2), (0xC3, 0x97, 0x97, 2), (0xC3, 0xB7, 0xB7, 2),
+    (0xE2, 0x80, 0x83, 3), (0xE2, 0x86, 0x9E, 3), (0xE3, 0x80, 0x80, 3), (0xEF, 0xBC, 0xBC, 3),
+)
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased, and zero for whatever is no letter."""
+    x = LETTER[data]
+    if len(data) > 1 and (data > 127).any():
+        first, second = data[:-1], data[1:]
+        for lead, low, high, size in SIGNS:
+            at = np.flatnonzero((first == lead) & (second >= low) & (second <= high))
+            for k in range(size if len(at) else 0):
+                x[np.minimum(at + k, len(x) - 1)] = 0
+    return x
 
 
 def _trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of the trigram that begins at each byte, and whether it has a letter in its middle."""
-    x = LETTER[data]
+    x = _letters(data)
     code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32), x[1:-1] > 0
 
@@ -82,10 +100,14 @@ def evidence_of_documents(docs: DataFrame) -> DataFrame:
     """id, text, declared, suffix, host of documents: their lang and source; a source without a dot has no suffix."""
     return docs.select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"),
-        F.expr("nullif(regexp_extract(source, '[.]([a-z]+)$', 1), '')").alias("suffix"), F.col("source").alias("host"),
+        _suffix(), F.col("source").alias("host"),
     )
 
 
+def _suffix() -> Column:
+    return F.expr("nullif(regexp_extract(source, '[.]([a-z]+)$', 1), '')").alias("suffix")
+
+
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log likelihoods by bucket, from the sample of labelled rows."""
     top = rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
@@ -96,8 +118,6 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     share = {r["declared"]: min(1.0, 2 * SAMPLE / r["count"]) for r in top}
     rate = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
     spot = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000))
-    from pyspark.sql import Window
-
     some = (
         rows.where(F.col("declared").isin(labels))
         .withColumn("spot", spot)
@@ -128,6 +148,7 @@ def _scored(rows: DataFrame, labels: list[str], table_: np.ndarray) -> DataFrame
     """The rows with ``scores`` (tempered log likelihood by language, null without letters), without their text."""
     shared = rows.sparkSession.sparkContext.broadcast(table_)
     others = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("scores", T.ArrayType(T.FloatType()))])
 
     def run(batches):
         weights = shared.value.T
@@ -140,64 +161,65 @@ def _scored(rows: DataFrame, labels: list[str], table_: np.ndarray) -> DataFrame
                     scores.append((TEMPER * (counts.astype(np.float32) @ weights)).tolist() if counts.any() else None)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(scores, pa.list_(pa.float32()))], [*others, "scores"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.select(*others, "text").mapInArrow(run, f"{kinds}, scores array<float>")
+    placed = rows.select(*others, "text").mapInArrow(run, schema)
+    return placed.withColumn("text_at", F.expr("nullif(array_position(scores, array_max(scores)), 0) - 1").cast("int")).withColumn(
+        "domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    )
+
+
+KEYS = ("declared", "suffix", "domain", "host")
+
+
+class Evidence:
+    """What all scored rows say about languages: how many rows each has, in all and by each key.
+
+    The counts by key are tables of their own, stored, so that the planner knows their size.
+    """
+
+    def __init__(self, scored: DataFrame, labels: list[str]):
+        self.labels, n = labels, len(labels)
+        real = scored.where("text_at is not null")
+        count = [F.count_if(F.col("text_at") == i).cast("double").alias(f"c{i}") for i in range(n)]
+        self.whole = [float(c) for c in real.agg(*count).first()]
+        self.by = {k: stored(real.where(F.col(k).isNotNull()).groupBy(k).agg(F.array(*count).alias(f"by_{k}"))) for k in KEYS}
+        self.kinds = {k: max(1, self.by[k].count()) for k in ("declared", "suffix")}
+
+    def posterior(self, scored: DataFrame) -> DataFrame:
+        """``scored`` with the best language's place ``best`` and its ``posterior``; scores and counts go."""
+        total = sum(self.whole) + len(self.labels)
+        sum_of = lambda a: f"aggregate({a}, 0D, (x, y) -> x + y)"
+        out = scored
+        for key in KEYS:
+            out = out.join(self.by[key], key, "left")
+        smooth = lambda own, parent: f"transform({own}, (x, i) -> (x + {HOST_WEIGHT} * {parent}[i]) / ({sum_of(own)} + {HOST_WEIGHT}))"
+        ratio = "".join(f" + coalesce(ln((by_{k}[i] + {SMOOTH}) / (_langs[i] + {SMOOTH} * {self.kinds[k]})), 0D)" for k in ("declared", "suffix"))
+        out = (
+            out.withColumns({"_all": F.array(*[F.lit((c + 1) / total) for c in self.whole]), "_langs": F.array(*[F.lit(c) for c in self.whole])})
+            .withColumn("_domain", F.expr(f"case when by_domain is null or domain = '' then _all else {smooth('by_domain', '_all')} end"))
+            .withColumn("_host", F.expr(f"case when by_host is null then _domain else {smooth('by_host', '_domain')} end"))
+            .withColumn("_log", F.expr(f"transform(scores, (s, i) -> s + ln(_host[i]){ratio})"))
+        )
+        return out.withColumn("best", F.expr("nullif(array_position(_log, array_max(_log)), 0) - 1").cast("int")).withColumn(
+            "posterior", F.coalesce(F.expr("1 / aggregate(transform(_log, x -> exp(x - array_max(_log))), 0D, (x, y) -> x + y)"), F.lit(0.0))
+        ).drop("scores", "_all", "_langs", "_domain", "_host", "_log", *(f"by_{k}" for k in KEYS))
+
+
+def _kept() -> Column:
+    return F.col("best").isNotNull() & (F.col("posterior") >= LEAST)
 
 
 def fused(rows: DataFrame) -> DataFrame:
     """id, language, posterior, kept, and what the text alone says (text_language), for evidence rows.
 
-    The rows' scores are settled without their texts: some numbers a row.
+    The rows' scores are stored without their texts: some numbers a row.
     """
     labels, weights = learn(rows)
     if not labels:
         return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"), F.lit("und").alias("text_language"))
+    scored = stored(_scored(rows, labels, weights))
     names = F.array(*[F.lit(x) for x in labels])
-    n = len(labels)
-    scored = settled(
-        _scored(rows, labels, weights)
-        .withColumn("text_at", F.expr("nullif(array_position(scores, array_max(scores)), 0) - 1").cast("int"))
-        .withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    )
-    real = scored.where("text_at is not null")
-
-    def tally(key: str) -> DataFrame:
-        """By key: rows of each language."""
-        return real.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.count_if(F.col("text_at") == i).cast("double") for i in range(n)]).alias(f"by_{key}"))
-
-    whole = real.agg(*[F.count_if(F.col("text_at") == i).alias(f"c{i}") for i in range(n)]).first()
-    total = sum(whole) + n
-    overall = F.array(*[F.lit((c + 1) / total) for c in whole])
-    sum_of = lambda a: f"aggregate({a}, 0D, (x, y) -> x + y)"
-    per_language = F.array(*[F.lit(float(c)) for c in whole])
-    out = scored
-    for key in ("declared", "suffix", "domain", "host"):
-        out = out.join(tally(key), key, "left")
-    kinds = {k: max(1, real.select(k).distinct().count()) for k in ("declared", "suffix")}
-    out = out.withColumns({"_all": overall, "_langs": per_language}).withColumn(
-        "_domain", F.expr(f"case when by_domain is null or domain = '' then _all else transform(by_domain, (x, i) -> (x + {HOST_WEIGHT} * _all[i]) / ({sum_of('by_domain')} + {HOST_WEIGHT})) end")
-    ).withColumn(
-        "_host", F.expr(f"case when by_host is null then _domain else transform(by_host, (x, i) -> (x + {HOST_WEIGHT} * _domain[i]) / ({sum_of('by_host')} + {HOST_WEIGHT})) end")
-    ).withColumn(
-        "_log",
-        F.expr(
-            "transform(scores, (s, i) -> s + ln(_host[i])"
-            + "".join(f" + coalesce(ln((by_{k}[i] + {SMOOTH}) / (_langs[i] + {SMOOTH} * {kinds[k]})), 0D)" for k in ("declared", "suffix"))
-            + ")"
-        ),
-    )
-    best = F.expr("nullif(array_position(_log, array_max(_log)), 0) - 1").cast("int")
-    return (
-        out.withColumn("_best", best)
-        .withColumn("posterior", F.coalesce(F.expr("1 / aggregate(transform(_log, x -> exp(x - array_max(_log))), 0D, (x, y) -> x + y)"), F.lit(0.0)))
-        .select(
-            "id",
-            F.coalesce(F.get(names, F.col("_best")), F.lit("und")).alias("language"),
-            "posterior",
-            (F.col("_best").isNotNull() & (F.col("posterior") >= LEAST)).alias("kept"),
-            F.coalesce(F.get(names, F.col("text_at")), F.lit("und")).alias("text_language"),
-        )
-    )
+    named = lambda at: F.coalesce(F.get(names, F.col(at)), F.lit("und"))
+    return Evidence(scored, labels).posterior(scored).select("id", named("best").alias("language"), "posterior", _kept().alias("kept"), named("text_at").alias("text_language"))
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
@@ -205,14 +227,19 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known, with the columns of ``docs``; a null doc_id is judged by its own row's text.
+    """The documents whose language is known, with the columns of ``docs``; each row is judged by itself, whatever its doc_id.
 
-    The verdict needs the row and some small tables, so rows that repeat a doc_id with another text all go if one of them does.
+    Texts are scored twice, for the counts and for themselves, as scoring costs less than moving or storing them. The row's number keeps
+    the filter on the verdict above what makes it.
     """
-    # Stored, as a filter on the verdict would else be pushed into the sums that make it.
-    verdicts = stored(language_of_documents(docs).select(F.col("id").alias("doc_id"), "kept"))
-    gone = verdicts.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+    rows = evidence_of_documents(docs)
+    labels, weights = learn(rows)
+    if not labels:
+        return docs.limit(0)
+    evidence = Evidence(stored(_scored(rows, labels, weights).drop("id", "scores")), labels)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "text", F.col("lang").alias("declared"), _suffix(), F.col("source").alias("host"))
+    judged = evidence.posterior(_scored(own, labels, weights)).withColumns({"kept": _kept(), "_number": F.monotonically_increasing_id()})
+    return judged.where("kept and _number >= 0").select("_row.*")
 
 
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
