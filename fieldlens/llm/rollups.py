@@ -2,15 +2,17 @@
 
 A ledger keeps, per committed batch, what it changed: for each document the signed change of its count, and for each (source, language,
 tokenizer) the signed change of documents and tokens. Totals are the sum of the latter over batches; nothing old is
-rewritten. A batch is one partition of each table, written by overwriting just that partition, and its marker comes last; committing
-the same batch again rewrites the same rows or, once marked, does nothing, so a batch counts once however often it is sent. Readers see marked batches only.
+rewritten. A commit writes partitions of its own, named by batch and attempt, and then a marker that names the attempt. Readers see
+marked attempts only, so what a lost commit has left is never read, whatever was committed since; once a batch is marked, sending it again does
+nothing. Should two attempts of a batch be marked at once, the first by name counts.
 
 A change row is (doc_id, op, source, lang, n_tokens): 'insert' and 'revise' set the document's count, 'delete' removes it.
 What a batch writes is new minus old, old being the sum of the document's earlier signed rows.
 
 Defined cases: null source or language is a group of its own; a null doc_id or op is rejected as an error; a document named twice in a batch takes
 the row with the largest n_tokens of the last op in the order insert, revise, delete; deleting an unknown document changes nothing; inserting
-one again revises it; an empty batch is committed and changes nothing.
+one again revises it; an empty batch is committed and changes nothing; further columns of a change are ignored. The query names a document
+without doc_id by the hash of its source, language and text.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Known, MergeList, encoded, public_path, read_tokenizer
-from .common import settled, shared_folder, table
+from .common import shared_folder, stored, table
 
-DOCS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch string"
-TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
+DOCS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch string, attempt string"
+TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, batch string, attempt string"
 KEYS = ("source", "lang", "tokenizer")
 
 
@@ -47,16 +49,19 @@ class Ledger:
         return found
 
     def committed(self) -> DataFrame:
-        return self._read("marks", "batch string").distinct()
+        """The attempt of each batch that counts."""
+        return self._read("marks", "batch string, attempt string").groupBy("batch").agg(F.min("attempt").alias("attempt"))
 
     def _marked(self, name: str, schema: str) -> DataFrame:
-        return self._read(name, schema).join(F.broadcast(self.committed()), "batch", "left_semi")
+        return self._read(name, schema).join(self.committed(), ["batch", "attempt"], "left_semi")
 
-    def documents(self, tokenizer: str | None = None) -> DataFrame:
-        """The count of each document that is there now."""
+    def documents(self, tokenizer: str | None = None, of: DataFrame | None = None) -> DataFrame:
+        """The count of each document that is there now, or of those in ``of`` (doc_id) only."""
         rows = self._marked("documents", DOCS)
         if tokenizer is not None:
             rows = rows.where(F.col("tokenizer") == tokenizer)
+        if of is not None:
+            rows = rows.join(of, "doc_id", "left_semi")
         return rows.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
@@ -78,19 +83,21 @@ class Ledger:
             F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n"),
         )
         last = checked.groupBy("doc_id").agg(F.max(F.struct("turn", "n", "source", "lang")).alias("x")).select("doc_id", "x.*")
-        old = self.documents(tokenizer).join(last.select("doc_id"), "doc_id", "left_semi")
+        old = self.documents(tokenizer, last.select("doc_id"))
         new = last.where("turn < 3").select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("docs"), F.col("n").alias("tokens"))
         minus = old.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        signed = settled(
+        signed = stored(
             new.unionByName(minus).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
         )
-        self._put("documents", signed, batch)
-        self._put("totals", signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), batch)
-        self._put("marks", self.spark.range(1).select(F.lit(1).alias("one")), batch)
+        attempt = uuid.uuid4().hex
+        self._put("documents", signed, batch, attempt)
+        self._put("totals", signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), batch, attempt)
+        self._put("marks", self.spark.range(1).select(F.lit(1).alias("one")), batch, attempt)
         return True
 
-    def _put(self, name: str, rows: DataFrame, batch: str) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/{name}")
+    def _put(self, name: str, rows: DataFrame, batch: str, attempt: str) -> None:
+        named = rows.withColumns({"batch": F.lit(batch), "attempt": F.lit(attempt)})
+        named.write.mode("append").partitionBy("batch", "attempt").parquet(f"{self.folder}/{name}")
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -109,12 +116,13 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The life of the table as four batches, one sent twice: every document comes in with an estimate from its length,
     then with its count, one of every seven is withdrawn, and comes in again."""
-    docs = table(spark, folder, "documents").where("doc_id is not null")
+    docs = table(spark, folder, "documents")
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("source", "lang", "text")).alias("doc_id"), "source", "lang", "text")
     name = "byte_bpe_50k"
     ledger = Ledger(spark, f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     op = lambda rows, what: rows.withColumn("op", F.lit(what))
     guess = docs.select("doc_id", "source", "lang", F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).alias("n_tokens"))
-    counted = settled(token_counts(docs, public_path(f"{name}.json")))
+    counted = stored(token_counts(docs, public_path(f"{name}.json")))
     some = counted.where(F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 0)
     ledger.commit("1", name, op(guess, "insert"))
     ledger.commit("2", name, op(counted, "revise"))
