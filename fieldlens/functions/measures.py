@@ -19,9 +19,14 @@ def check_phase(phase):
     return phase
 
 
+def is_month(year, month):
+    """True for a calendar month, false for an impossible one, NULL for an unknown one."""
+    return F.col(month).between(1, 12) & F.col(year).between(1, 9999)
+
+
 def month_date(year, month):
-    """First day of the month."""
-    return F.make_date(F.col(year), F.col(month), F.lit(1))
+    """First day of the month; NULL for an impossible or unknown one."""
+    return F.when(is_month(year, month), F.make_date(F.col(year), F.col(month), F.lit(1)))
 
 
 def days_in_month(date):

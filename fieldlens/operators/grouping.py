@@ -1,7 +1,5 @@
 """Grouping by case and dimension, ordering, and numbering rows within a group."""
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +7,8 @@ from fieldlens.functions.labels import FIELD
 from fieldlens.operators.filters import one_case
 from fieldlens.sources.schema import DIMENSIONS
 
+BINS = 1024
+
 
 def check_dims(dims):
     """Dimensions without repeats, in the given order."""
@@ -53,42 +53,30 @@ def top_per_case(df, n, value, tie_breaker, case=None):
     return ranked.filter(F.col("position") <= n).drop("position")
 
 
-def settle(df):
-    """The rows written to the checkpoint folder, so that later steps share them.
+def depth_bin(measure):
+    """A whole number that never falls as the measure rises: BINS of them between a value and its double.
 
-    The folder is the session's; only a local session without one gets its own.
+    The same for all data, so that no bounds have to be sampled. NaN and then NULL come last, as in the order.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="fieldlens-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def number_rows(df, keys, order, name):
-    """Position of each row within its key, from 1, by an order that has no ties.
-
-    A key may hold any share of the rows, so no key is brought into one task: rows
-    are cut into slices by range of (key, order), numbered inside a slice, and
-    moved up by what the key has in earlier slices. Slices are settled first,
-    because their bounds come from a sample.
-    """
-    ranged = df.repartitionByRange(*keys, *order)
-    sliced = settle(ranged.withColumn("slice", F.spark_partition_id()))
-    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*keys, "slice")
-        .count()
-        .select(*keys, "slice", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
+    size = F.least(F.log2(F.abs(measure) + 1), F.lit(1100.0)) * BINS
+    return F.when(measure.isNull(), 3000 * BINS).when(F.isnan(measure), 2000 * BINS).otherwise(
+        (F.signum(measure) * F.floor(size)).cast("int")
     )
-    inside = Window.partitionBy("slice", *keys).orderBy(*order)
-    return (
-        sliced.withColumn("inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "slice"])
-        .withColumn(name, F.col("earlier") + F.col("inside"))
-        .drop("slice", "earlier", "inside")
+
+
+def number_along(df, keys, measure, tie, name):
+    """Position of each row within its key, from 1, by a number and, where it is equal, by a further column.
+
+    A key may hold any share of the rows, so no key is brought into one task: a histogram counts its
+    rows by bins of the number, rows are numbered inside their bin, and moved up by what the histogram
+    has below. Bins don't depend on the data; nothing runs or is written before the result is asked for.
+    """
+    value = F.col(measure).cast("double")
+    binned = df.withColumn("bin", depth_bin(value))
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")).select(
+        *keys, "bin", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("earlier")
     )
+    inside = Window.partitionBy(*keys, "bin").orderBy(F.col(measure).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    numbered = binned.withColumn("inside", F.row_number().over(inside))
+    return numbered.join(histogram, [*keys, "bin"]).select(*df.columns, (F.col("earlier") + F.col("inside")).alias(name))

@@ -5,9 +5,10 @@ No side is broadcast by hint. Spark broadcasts a side whose size it has checked
 merges sorted sides, splitting hot keys.
 """
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.operators.filters import keep_picks, one_case
+from fieldlens.operators.filters import dimensions_in_use, keep_picks, one_case
 
 ON_COMPLETION = ["casename", "well", "completion"]
 
@@ -37,7 +38,8 @@ def with_completion(rows, completion, columns, chosen=None, numbered=False, case
 
     Rows without a completion stay, with NULL columns, unless values are chosen: a
     chosen value can only be met by a completion, so these are picked first and
-    the join keeps matches only. `numbered` joins by the id's number.
+    the join keeps matches only. A table of chosen values does so in the cases that have
+    any. `numbered` joins by the id's number.
     """
     number = F.expr("try_cast(CompSubId AS INT)") if numbered else F.col("CompSubId")
     side = keep_picks(one_case(completion, case), chosen).select(
@@ -46,7 +48,27 @@ def with_completion(rows, completion, columns, chosen=None, numbered=False, case
         number.alias("completion"),
         *columns,
     )
-    return rows.join(side, ON_COMPLETION, "inner" if chosen else "left")
+    if not isinstance(chosen, DataFrame):
+        return rows.join(side, ON_COMPLETION, "inner" if chosen else "left")
+    filtering = dimensions_in_use(chosen).select("casename", F.lit(True).alias("filtered"))
+    joined = rows.join(side.withColumn("met", F.lit(True)), ON_COMPLETION, "left").join(filtering, "casename", "left")
+    return joined.filter("met or filtered is null").drop("met", "filtered")
+
+
+def with_either_completion(rows, completion, columns, chosen=None, case=None):
+    """Measured (`is_fit` false) and modelled rows with columns of their completion; others drop out.
+
+    One join serves both: a completion offers its id as text to the one and as number to the other.
+    """
+    number = F.expr("string(try_cast(CompSubId AS INT))")
+    ids = F.array(
+        F.struct(F.lit(False).alias("is_fit"), F.col("CompSubId").alias("completion")),
+        F.struct(F.lit(True).alias("is_fit"), number.alias("completion")),
+    )
+    side = keep_picks(one_case(completion, case), chosen).select(
+        "casename", F.col("WellAPI").alias("well"), *columns, F.inline(ids)
+    )
+    return rows.join(side, [*ON_COMPLETION, "is_fit"])
 
 
 def with_bounds(rows, fit_info, date):
@@ -62,8 +84,3 @@ def completions_per_well(completion, columns=()):
     return completion.groupBy(
         "casename", F.col("WellAPI").alias("well"), *columns
     ).agg(F.count(F.lit(1)).alias("completions"))
-
-
-def actual_with_fit(actual, fit, keys):
-    """Groups on both sides; a NULL key has no partner."""
-    return actual.join(fit, ["casename", *keys], "inner")

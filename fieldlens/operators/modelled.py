@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions.labels import fit_type, known_or_na
 from fieldlens.functions.measures import check_phase, fit_rate, percentiles
+from fieldlens.operators.filters import has_choice
 from fieldlens.operators.grouping import check_dims, group_columns, in_order, with_field
 from fieldlens.operators.joins import step_rows, with_completion
 
@@ -27,7 +28,7 @@ def fit_series(
     names = rate_columns(phase, band)
     rates = [fit_rate(phase, name.rsplit("_p", 1)[1]).alias(name) for name in names]
     rows = step_rows(steps, F.col("Date").alias("date"), *rates, case=case)
-    if dims or chosen:
+    if dims or has_choice(chosen):
         rows = with_completion(rows, completion, dims, chosen, numbered=True, case=case)
     sums = rows.groupBy("casename", "date", *dims).agg(*[F.sum(name).alias(name) for name in names])
     bounds = fit_info.select("casename", "IsBacktest", "BacktestEndDate")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions.labels import group_label, known_or_na
 from fieldlens.functions.measures import actual_rate, month_date
-from fieldlens.operators.filters import of_phase
+from fieldlens.operators.filters import has_choice, of_phase
 from fieldlens.operators.grouping import check_dims, group_columns, in_order, with_field
 from fieldlens.operators.joins import completions_per_well, production_rows, with_completion
 
@@ -25,7 +25,7 @@ def actual_series(production, completion, phase, dims=(), case=None, chosen=None
         "BHP",
         case=case,
     )
-    if dims or chosen:
+    if dims or has_choice(chosen):
         rows = with_completion(rows, completion, dims, chosen, case=case)
     sums = rows.groupBy("casename", "date", *dims).agg(
         F.sum("rate").alias(phase),

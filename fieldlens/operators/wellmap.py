@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from fieldlens.functions.labels import group_label, hover_text
-from fieldlens.operators.filters import keep_picks, one_case, with_keys
-from fieldlens.operators.grouping import group_columns, number_rows, with_field
+from fieldlens.operators.filters import keep_picks, one_case, with_keys, without_dimension
+from fieldlens.operators.grouping import group_columns, number_along, with_field
 from fieldlens.operators.selection import flag_wells, hide_unselected_wells
 
 # Fixed values.
@@ -12,16 +12,16 @@ COORDINATES = {"Latitude": "Latitude", "Longitude": "Longitude", "Easting": "X",
 PATH_KEYS = ("casename", "WellAPI", "is_selected")
 
 
-def _without_wells(chosen):
-    """The map marks chosen wells and filters by the other dimensions."""
-    return {dim: values for dim, values in (chosen or {}).items() if dim != "WellAPI"}
-
-
 def _marked(points, wells, hide_unselected):
     flagged = flag_wells(points, wells)
     return hide_unselected_wells(flagged, wells) if hide_unselected else flagged
 
 
+def _rows(completion, dims, case, chosen):
+    """The map marks chosen wells and filters by the other dimensions."""
+    return with_field(keep_picks(one_case(completion, case), without_dimension(chosen, "WellAPI")), dims)
+
+
 def _named(dims):
     """Dimensions, then well columns, each once."""
     return list(dict.fromkeys([*group_columns(dims), "WellName", "WellAPI"]))
@@ -29,7 +29,7 @@ def _named(dims):
 
 def well_centroids(completion, dims=("Type",), case=None, chosen=None, wells=(), hide_unselected=False):
     """Mean coordinates of a well within the dimensions."""
-    rows = with_field(keep_picks(one_case(completion, case), _without_wells(chosen)), dims)
+    rows = _rows(completion, dims, case, chosen)
     means = [F.avg(column).alias(name) for name, column in COORDINATES.items()]
     points = rows.groupBy("casename", *_named(dims)).agg(*means)
     return _marked(points, wells, hide_unselected)
@@ -37,7 +37,7 @@ def well_centroids(completion, dims=("Type",), case=None, chosen=None, wells=(),
 
 def well_points(completion, dims=("Type",), case=None, chosen=None, wells=(), hide_unselected=False):
     """Coordinates of every completion, with what orders them along the well."""
-    rows = with_field(keep_picks(one_case(completion, case), _without_wells(chosen)), dims)
+    rows = _rows(completion, dims, case, chosen)
     names = list(dict.fromkeys([*_named(dims), "Type"]))
     coordinates = [F.col(column).alias(name) for name, column in COORDINATES.items()]
     points = rows.select("casename", *names, *coordinates, "TD", "CompSubId")
@@ -49,8 +49,7 @@ def well_paths(points):
     known = with_keys(points, PATH_KEYS).select(
         *PATH_KEYS, "WellName", *COORDINATES, "TD", "CompSubId"
     )
-    order = [F.col("TD").asc_nulls_last(), F.col("CompSubId").asc_nulls_last()]
-    return number_rows(known, list(PATH_KEYS), order, "point_no")
+    return number_along(known, list(PATH_KEYS), "TD", "CompSubId", "point_no")
 
 
 def well_lines(paths, points_per_line):

@@ -4,6 +4,8 @@ Each query takes (spark, folder of parquet files) and returns a DataFrame. Scale
 volumes are rounded to six decimals, as the SQL they are compared with does.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldlens.functions.labels import parse_date
@@ -11,11 +13,14 @@ from fieldlens.functions.measures import (
     INJECTOR_STATUS, PHASES, PRODUCER_STATUS, actual_rate, days_in_month, fit_rate, fit_table, month_date,
 )
 from fieldlens.operators import crossplot as xplot
-from fieldlens.operators import joins, modelled, options, selection, series, summary, totals, wellmap
+from fieldlens.operators import joins, modelled, options, selection, series, summary, totals, wellcounts, wellmap
 from fieldlens.operators.filters import picks
 from fieldlens.plans.derived import DerivedTables
 from fieldlens.sources import artefacts
-from fieldlens.sources.tables import list_cases
+from fieldlens.sources.layout import read_layout, work_folder, write_layout
+from fieldlens.sources.records import records_and_rejects, write_records, write_texts_as_lists
+from fieldlens.sources.schema import FIT_INFO, SCHEMAS
+from fieldlens.sources.tables import list_cases, load
 
 # Choices a user might have made; the SQL repeats them.
 CASE = "ASIA"
@@ -24,6 +29,7 @@ COMPARTMENTS = ["CMP_1"]
 FAULTBLOCKS = ["FB_0", "FB_2"]
 WELLS = [f"W{number}" for number in range(1, 60) if number not in (7, 10)]
 DIMS = ("Reservoir", "FaultBlock")
+RANGE = 64 << 10  # bytes of a list of records that a task scans
 
 QUERIES = {}
 
@@ -192,6 +198,18 @@ def _(t):
     return series.with_props(actual, dims, "oil", ("wellcount", "bhp"))
 
 
+@query("well_counts_by_reservoir")
+def _(t):
+    return wellcounts.well_counts(wellcounts.well_bitmaps(t.productiondata, t.completiondata, "oil", ("Reservoir",)), ("Reservoir",))
+
+
+@query("well_counts_merged")
+def _(t):
+    """Counts of the field from the bitmaps of its layers and blocks."""
+    fine = wellcounts.well_bitmaps(t.productiondata, t.completiondata, "oil", DIMS)
+    return wellcounts.well_counts(fine)
+
+
 # Modelled series
 
 
@@ -258,6 +276,51 @@ def _(t):
     return rounded(totals.top_wells(t.productiondata, t.completiondata, case=CASE), "oil_cum")
 
 
+# By a table of chosen values
+
+
+def _selection(t):
+    """Wells chosen on a map in all cases, merged with other lists that some cases have."""
+    return selection.merge_selection(_from_map(t), t.picked_values, ordered=False)
+
+
+@query("actual_series_by_selection")
+def _(t):
+    return _actual(t, "oil", dims=("Reservoir",), chosen=_selection(t))
+
+
+@query("field_series_by_selection")
+def _(t):
+    return _actual(t, "gross", chosen=t.picked_values)
+
+
+@query("fit_series_by_selection")
+def _(t):
+    return _fit(t, "water", band="10-90", dims=("FaultBlock",), chosen=_selection(t))
+
+
+@query("fit_band_by_selection")
+def _(t):
+    fit = _fit(t, "oil", dims=("Reservoir",), chosen=_selection(t), ordered=False)
+    band = modelled.fit_band(fit, "oil", dims=("Reservoir",))
+    return band.withColumn("x", F.col("x").cast("array<string>"))
+
+
+@query("crossplot_by_selection")
+def _(t):
+    return _crossplot(t, "oil", DIMS, chosen=_selection(t), hide_unselected=True)
+
+
+@query("crossplot_marked_by_selection")
+def _(t):
+    return xplot.mark_selected(_crossplot(t, "oil", DIMS), xplot.crossplot_keys(DIMS), _selection(t))
+
+
+@query("well_points_by_selection")
+def _(t):
+    return wellmap.well_points(t.completiondata, ("Reservoir",), chosen=_selection(t), wells=t.selected_points)
+
+
 # Crossplot
 
 
@@ -433,6 +496,82 @@ def _(t):
     )
 
 
+FIT_OUTPUT_SCHEMA = "loss double, wells array<struct<name:string,r2:double>>"
+
+
+def _contents(t, file):
+    """The last prediction of every customer with what its manifest names."""
+    root = work_folder(t.spark)
+    artefacts.write_contents(t.artefacts, root).write.format("noop").mode("overwrite").save()
+    last = artefacts.latest_prediction(t.customer_predictions).withColumnRenamed("latest", "name")
+    named = t.customer_predictions.join(last, ["fit", "name"], "left_semi")
+    return artefacts.read_contents(named.select("fit", "name", artefacts.artefact_path("manifest", *file).alias("path")), root=root)
+
+
+@query("artefact_documents")
+def _(t):
+    documents = artefacts.json_documents(_contents(t, artefacts.FIT_OUTPUT), FIT_OUTPUT_SCHEMA)
+    return documents.select("fit", "name", "path", "status", "document.loss", F.explode_outer("document.wells").alias("w")).select(
+        "fit", "name", "path", "status", "loss", F.col("w.name").alias("well"), "w.r2"
+    )
+
+
+@query("artefact_cells")
+def _(t):
+    return artefacts.csv_cells(_contents(t, artefacts.SENSITIVITY_MATRIX)).drop("path")
+
+
+# Tables written and read again
+
+
+def _laid_out(t, buckets=8):
+    prefix = f"layout_{uuid.uuid4().hex}"
+    write_layout(t, work_folder(t.spark), prefix, buckets)
+    return read_layout(t.spark, prefix)
+
+
+@query("actual_series_from_layout")
+def _(t):
+    laid = _laid_out(t)
+    return series.actual_series(laid.productiondata, laid.completiondata, "oil", ("Compartment", "Type"))
+
+
+@query("crossplot_from_layout")
+def _(t):
+    return _crossplot(_laid_out(t), "gas", DIMS)
+
+
+@query("loaded_counts")
+def _(t):
+    """Counts of tables as `load` reads them, with impossible months among their rows."""
+    folder = work_folder(t.spark)
+    for name in SCHEMAS:
+        write_records(getattr(t, name), f"{folder}/{name}", "parquet", partition_by=["casename"])
+    loaded = load(t.spark, folder)
+    rejected = loaded.rejected.groupBy("casename").agg(F.count(F.lit(1)).alias("rejected_rows"))
+    counts = summary.case_summary(loaded.productiondata, loaded.completiondata)
+    return counts.join(rejected, "casename", "left")
+
+
+def _fit_run_lists(t):
+    """Case information as lists of records, of which some don't fit the schema."""
+    key = F.substring("casename", 4, 20).cast("bigint")
+    folder = work_folder(t.spark)
+    whole, broken = F.to_json(F.struct(*t.fit_runs.columns)), F.to_json(F.struct("casename", F.lit('no "number"}, [\\').alias("Dt")))
+    write_texts_as_lists(t.fit_runs.select(F.when(key % 17 == 0, broken).otherwise(whole).alias("text")), folder)
+    return records_and_rejects(t.spark, folder, FIT_INFO, lines=False, chunk=RANGE)
+
+
+@query("list_records")
+def _(t):
+    return _fit_run_lists(t)[0]
+
+
+@query("list_rejects")
+def _(t):
+    return _fit_run_lists(t)[1].select(F.get_json_object("text", "$.casename").alias("casename"))
+
+
 def _per_phase(phase):
     query(f"actual_series_{phase}")(lambda t: _actual(t, phase))
     query(f"fit_series_{phase}")(lambda t: _fit(t, phase))

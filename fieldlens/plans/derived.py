@@ -5,8 +5,11 @@ is one production row, so the fact tables grow with the data. Rates are whole or
 quarter steps, which keeps sums of doubles exact in any order.
 
 Built-in edge cases: production without a completion (completion 7 of every fifth
-well), NULL compartment (completion 6), NULL gas rate (completion 5, flag N), wells
-that only inject, wells that change status in 1998, and cases without a backtest.
+well), NULL compartment (completion 6), NULL gas rate (completion 5, flag N), other NULL
+rates (quantities 50, 49 and 48 with flag R), month 13 (quantity 47 of completion 2), NULL
+net pay and depth, equal depths in a well, wells that only inject, wells that change status
+in 1998, cases without a backtest, modelled months that begin later than the measured ones and go on
+after them, manifests that are cut short or list nothing.
 """
 
 from functools import cached_property
@@ -23,10 +26,11 @@ SOURCES = {
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
     "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING, "
     "l_shipdate TIMESTAMP_NTZ",
-    "orders": "o_orderkey BIGINT, o_orderpriority STRING, o_orderstatus STRING, "
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING, o_orderstatus STRING, "
     "o_orderdate TIMESTAMP_NTZ",
 }
 COMPLETIONS_PER_WELL = 7
+MODEL_DELAY = 3  # months
 BAND_FACTORS = dict(zip(PERCENTILES, (0.5, 0.75, 1.0, 1.25, 1.5)))
 
 
@@ -38,13 +42,13 @@ class DerivedTables:
     """Offers the attributes of `Tables`, each built when first asked for."""
 
     def __init__(self, spark, folder):
-        self._spark = spark
+        self.spark = spark
         self._folder = folder
         self._sources = {}
 
     def _read(self, name):
         if name not in self._sources:
-            reader = self._spark.read.schema(SOURCES[name])
+            reader = self.spark.read.schema(SOURCES[name])
             self._sources[name] = reader.parquet(f"{self._folder}/{name}.parquet")
         return self._sources[name]
 
@@ -111,8 +115,9 @@ class DerivedTables:
             (F.lit(-73.0) + wk * 0.25 - ln * 0.125).alias("Longitude"),
             (500000 + wk * 100 + ln).cast("double").alias("X"),
             (900000 + wk * 50 - ln).cast("double").alias("Y"),
-            (8000 - ln * 250).cast("double").alias("TD"),
-            (10 + ln).cast("double").alias("Netpay"),
+            # Completions 4 and 5 of every third well lie at one depth.
+            F.when((ln != 2) | (wk % 6 != 0), (8000 - F.when((ln == 5) & (wk % 3 == 0), 4).otherwise(ln) * 250).cast("double")).alias("TD"),
+            F.when((ln != 3) | (wk % 7 != 0), (10 + ln).cast("double")).alias("Netpay"),
         )
 
     @cached_property
@@ -125,23 +130,24 @@ class DerivedTables:
             return F.when(status == wanted, value).otherwise(F.lit(0.0))
 
         unknown_gas = (ln == 5) & (F.col("l_returnflag") == "N")
+        returned = F.col("l_returnflag") == "R"
         return self._with_case(self._read("lineitem"), "l_suppkey").select(
             F.col("r_name").alias("casename"),
             _well_name("s_suppkey").alias("WellAPI"),
             ln.cast("string").alias("CompSubId"),
             year.alias("Year"),
-            F.month("l_shipdate").alias("Month"),
+            F.when((rate == 47) & (ln == 2), 13).otherwise(F.month("l_shipdate")).alias("Month"),
             status.alias("Status"),
-            while_status(1, rate).alias("Qo"),
-            while_status(1, rate * (ln % 3)).alias("Qw"),
+            F.when(~(returned & (rate == 50)), while_status(1, rate)).alias("Qo"),
+            F.when(~(returned & (rate == 49)), while_status(1, rate * (ln % 3))).alias("Qw"),
             F.when(~unknown_gas, while_status(1, rate * 4)).alias("Qg"),
-            while_status(2, rate * 8).alias("Qs"),
+            F.when(~(returned & (rate == 48)), while_status(2, rate * 8)).alias("Qs"),
             (F.lit(1000.0) + rate).alias("BHP"),
         )
 
     def _steps(self, status, **rates):
-        """Modelled rates: the measured month, scaled by completion and percentile."""
-        rows = self.productiondata.filter(F.col("Status") == status)
+        """Modelled rates: a measured month moved by MODEL_DELAY, scaled by completion and percentile."""
+        rows = self.productiondata.filter((F.col("Status") == status) & (F.col("Month") <= 12))
         number = F.col("CompSubId").cast("int")
         sums = rows.groupBy("casename", "WellAPI", "CompSubId", "Year", "Month").agg(
             *[F.sum(value).alias(phase) for phase, (value, _) in rates.items()]
@@ -155,7 +161,7 @@ class DerivedTables:
             "casename",
             F.col("WellAPI").alias("WellId"),
             number.alias("CompletionId"),
-            month_date("Year", "Month").alias("Date"),
+            F.add_months(month_date("Year", "Month"), MODEL_DELAY).alias("Date"),
             *[
                 (value * factor).alias(f"{phase}RateP{p}")
                 for phase, value in scaled.items()
@@ -174,18 +180,49 @@ class DerivedTables:
 
     @cached_property
     def predictions(self):
-        key = F.col("o_orderkey").cast("string")
+        return self._predictions(F.col("o_orderpriority"))
+
+    @cached_property
+    def customer_predictions(self):
+        """As `predictions`, with one fit per customer."""
+        return self._predictions(F.concat(F.lit("CUST"), F.col("o_custkey").cast("string")))
+
+    def _predictions(self, fit):
+        """Every seventh manifest is cut short, every eleventh lists nothing."""
+        number, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
         manifest = F.concat(
             F.lit('{"files":{"final":{"SensitivityMatrixCumWWell.csv":"blob/'), key,
             F.lit('.csv"},"intermediateOutput":{"fit_output.json":"blob/'), key, F.lit('.json"}}}'),
         )
         return self._read("orders").select(
-            F.col("o_orderpriority").alias("fit"),
+            fit.alias("fit"),
             F.concat(F.lit("PRED"), key).alias("name"),
-            F.col("o_orderkey").alias("seq"),
-            manifest.alias("manifest"),
+            number.alias("seq"),
+            F.when(number % 7 == 0, F.lit('{"files":{"final":'))
+            .when(number % 11 == 0, F.lit("{}"))
+            .otherwise(manifest)
+            .alias("manifest"),
         )
 
+    @cached_property
+    def artefacts(self):
+        """The files behind the last prediction of each customer, as (path, content).
+
+        Every fifth has no file, and the documents of every thirteenth are cut short.
+        """
+        orders = self._read("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("number"))
+        number, key = F.col("number"), F.col("number").cast("string")
+        document = F.concat(
+            F.lit('{"loss": '), (number % 100 * 0.25).cast("string"),
+            F.lit(', "wells": [{"name": "W1", "r2": 0.5}, {"name": "W'), key, F.lit('", "r2": null}]}'),
+        )
+        matrix = F.concat(F.lit('Well,W1,"W,2"\r\nW1,0.5,\r\n"W,2",'), key, F.lit(',"x ""y""\nz"\r\n'))
+        files = F.array(
+            F.struct(F.concat(F.lit("blob/"), key, F.lit(".json")).alias("path"), F.when(number % 13 == 0, F.substring(document, 1, 12)).otherwise(document).alias("content")),
+            F.struct(F.concat(F.lit("blob/"), key, F.lit(".csv")).alias("path"), matrix.alias("content")),
+        )
+        return orders.filter(number % 5 != 0).select(F.explode(files).alias("f")).select("f.path", F.encode("f.content", "UTF-8").alias("content"))
+
     @cached_property
     def dated_texts(self):
         """Dates as a web service sends them, with a time behind."""
@@ -197,3 +234,19 @@ class DerivedTables:
         """Wells with a completion inside a band of latitude, as drawn on a map."""
         inside = (F.col("Latitude") >= 5) & (F.col("Latitude") < 9)
         return self.completiondata.filter(inside).select("casename", "WellAPI").distinct()
+
+    @cached_property
+    def picked_values(self):
+        """Chosen layers, blocks and compartments per case, as rows of (case, list, value).
+
+        Cases with an even key choose layers, case 1 a layer that nobody has and case 2 blocks as well; case 3 chooses nothing.
+        """
+        key = F.col("r_regionkey")
+        text = "array<struct<list:string,value:string>>"
+        pairs = F.expr(
+            "concat("
+            f"if(r_regionkey % 2 = 0, array(('layers', 'RES_1'), ('layers', 'RES_3')), array()),"
+            f"if(r_regionkey = 1, array(('layers', 'no such layer')), array()),"
+            f"if(r_regionkey = 2, array(('faultblocks', 'FB_0'), ('faultblocks', 'FB_2'), ('compartments', CAST(NULL AS STRING))), array()))"
+        ).cast(text)
+        return self._read("region").filter(key != 3).select(F.col("r_name").alias("casename"), F.inline(pairs))

@@ -26,20 +26,26 @@ WITH fit_info AS (
     CAST(4 AS DOUBLE) + wk * CAST(0.125 AS DOUBLE) + ln * CAST(0.25 AS DOUBLE) AS Latitude,
     CAST(-73 AS DOUBLE) + wk * CAST(0.25 AS DOUBLE) - ln * CAST(0.125 AS DOUBLE) AS Longitude,
     CAST(500000 + wk * 100 + ln AS DOUBLE) AS X, CAST(900000 + wk * 50 - ln AS DOUBLE) AS Y,
-    CAST(8000 - ln * 250 AS DOUBLE) AS TD, CAST(10 + ln AS DOUBLE) AS Netpay
+    CASE WHEN ln <> 2 OR wk % 6 <> 0
+         THEN CAST(8000 - (CASE WHEN ln = 5 AND wk % 3 = 0 THEN 4 ELSE ln END) * 250 AS DOUBLE) END AS TD,
+    CASE WHEN ln <> 3 OR wk % 7 <> 0 THEN CAST(10 + ln AS DOUBLE) END AS Netpay
   FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7]) AS ln FROM wells) w
   WHERE NOT (ln = 7 AND wk % 5 = 0)
 ), productiondata AS (
   SELECT casename, WellAPI, CAST(l_linenumber AS VARCHAR) AS CompSubId,
     CAST(y AS INT) AS Year, CAST(m AS INT) AS Month, st AS Status,
-    CASE WHEN st = 1 THEN l_quantity ELSE CAST(0 AS DOUBLE) END AS Qo,
-    CASE WHEN st = 1 THEN l_quantity * (l_linenumber % 3) ELSE CAST(0 AS DOUBLE) END AS Qw,
+    CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN NULL
+         WHEN st = 1 THEN l_quantity ELSE CAST(0 AS DOUBLE) END AS Qo,
+    CASE WHEN l_returnflag = 'R' AND l_quantity = 49 THEN NULL
+         WHEN st = 1 THEN l_quantity * (l_linenumber % 3) ELSE CAST(0 AS DOUBLE) END AS Qw,
     CASE WHEN l_linenumber = 5 AND l_returnflag = 'N' THEN NULL
          WHEN st = 1 THEN l_quantity * 4 ELSE CAST(0 AS DOUBLE) END AS Qg,
-    CASE WHEN st = 2 THEN l_quantity * 8 ELSE CAST(0 AS DOUBLE) END AS Qs,
+    CASE WHEN l_returnflag = 'R' AND l_quantity = 48 THEN NULL
+         WHEN st = 2 THEN l_quantity * 8 ELSE CAST(0 AS DOUBLE) END AS Qs,
     CAST(1000 AS DOUBLE) + l_quantity AS BHP
   FROM (SELECT w.casename, w.WellAPI, l.l_linenumber, l.l_quantity, l.l_returnflag,
-          year(l.l_shipdate) AS y, month(l.l_shipdate) AS m,
+          year(l.l_shipdate) AS y,
+          CASE WHEN l.l_quantity = 47 AND l.l_linenumber = 2 THEN 13 ELSE month(l.l_shipdate) END AS m,
           CASE WHEN w.wk % 4 = 0 THEN 2
                WHEN w.wk % 4 = 1 AND year(l.l_shipdate) >= 1998 THEN 2 ELSE 1 END AS st
         FROM lineitem l JOIN wells w ON l.l_suppkey = w.wk) b
@@ -49,29 +55,29 @@ WITH fit_info AS (
     g * 0.5 AS GrossRateP10, g * 0.75 AS GrossRateP25, g AS GrossRateP50, g * 1.25 AS GrossRateP75,
     g * 1.5 AS GrossRateP90,
     s * 0.5 AS GasRateP10, s * 0.75 AS GasRateP25, s AS GasRateP50, s * 1.25 AS GasRateP75, s * 1.5 AS GasRateP90
-  FROM (SELECT casename, WellAPI, CAST(CompSubId AS INT) AS CompletionId, make_date(Year, Month, 1) AS Date,
+  FROM (SELECT casename, WellAPI, CAST(CompSubId AS INT) AS CompletionId, CAST(make_date(Year, Month, 1) + INTERVAL 3 MONTH AS DATE) AS Date,
           sum(Qo) * (CAST(0.75 AS DOUBLE) + CAST(0.25 AS DOUBLE) * (CAST(CompSubId AS INT) % 3)) AS o,
           sum(Qo + Qw) * (CAST(0.75 AS DOUBLE) + CAST(0.25 AS DOUBLE) * (CAST(CompSubId AS INT) % 3)) AS g,
           sum(Qg) AS s
-        FROM productiondata WHERE Status = 1 GROUP BY casename, WellAPI, CompSubId, Year, Month) b
+        FROM productiondata WHERE Status = 1 AND Month <= 12 GROUP BY casename, WellAPI, CompSubId, Year, Month) b
 ), injector_timestep AS (
   SELECT casename, WellAPI AS WellId, CompletionId, Date,
     i * 0.5 AS InjectantRateP10, i * 0.75 AS InjectantRateP25, i AS InjectantRateP50,
     i * 1.25 AS InjectantRateP75, i * 1.5 AS InjectantRateP90
-  FROM (SELECT casename, WellAPI, CAST(CompSubId AS INT) AS CompletionId, make_date(Year, Month, 1) AS Date,
+  FROM (SELECT casename, WellAPI, CAST(CompSubId AS INT) AS CompletionId, CAST(make_date(Year, Month, 1) + INTERVAL 3 MONTH AS DATE) AS Date,
           sum(Qs) * (CAST(0.75 AS DOUBLE) + CAST(0.25 AS DOUBLE) * (CAST(CompSubId AS INT) % 3)) AS i
-        FROM productiondata WHERE Status = 2 GROUP BY casename, WellAPI, CompSubId, Year, Month) b
+        FROM productiondata WHERE Status = 2 AND Month <= 12 GROUP BY casename, WellAPI, CompSubId, Year, Month) b
 ), predictions AS (
   SELECT o_orderpriority AS fit, concat('PRED', CAST(o_orderkey AS VARCHAR)) AS name, o_orderkey AS seq,
-    concat('blob/', CAST(o_orderkey AS VARCHAR)) AS stem
+    CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN concat('blob/', CAST(o_orderkey AS VARCHAR)) END AS stem
   FROM orders
 ), selected_points AS (
   SELECT DISTINCT casename, WellAPI FROM completiondata WHERE Latitude >= 5 AND Latitude < 9
 ), measured AS (
-  SELECT p.*, make_date(p.Year, p.Month, 1) AS d, day(last_day(make_date(p.Year, p.Month, 1))) AS days,
+  SELECT p.*, day(last_day(p.d)) AS days,
     c.WellAPI AS cWellAPI, c.WellName, c.Reservoir, c.FaultBlock, c.Compartment, c.Type, c.Netpay,
     f.BacktestEndDate
-  FROM productiondata p
+  FROM (SELECT *, CASE WHEN Month <= 12 THEN make_date(Year, Month, 1) END AS d FROM productiondata) p
   LEFT JOIN completiondata c
     ON p.casename = c.casename AND p.WellAPI = c.WellAPI AND p.CompSubId = c.CompSubId
   LEFT JOIN fit_info f ON f.casename = p.casename
@@ -167,7 +173,7 @@ USING (casename, {', '.join(keys)})"""
 
 
 def _production(dim=None, name=None, fanout=False):
-    source = """(SELECT p.*, make_date(p.Year, p.Month, 1) AS d, c.Reservoir, c.FaultBlock
+    source = """(SELECT p.*, CASE WHEN p.Month <= 12 THEN make_date(p.Year, p.Month, 1) END AS d, c.Reservoir, c.FaultBlock
   FROM productiondata p LEFT JOIN completiondata c
     ON p.WellAPI = c.WellAPI AND p.casename = c.casename AND p.CompSubId = p.CompSubId) x"""
     shown = f", {dim} AS {name}" if dim else ""
@@ -255,7 +261,7 @@ SELECT casename,
   concat(Reservoir, '-', FaultBlock, '-', CASE WHEN Reservoir IN {LAYERS} THEN 'True' ELSE 'False' END)
     AS group_label,
   concat('Reservoir: ', Reservoir, '<br>FaultBlock: ', FaultBlock, '<br>WellAPI: ', WellAPI,
-    '<br>WellName: ', WellName, '<br>netpay: ', CAST(netpay AS VARCHAR)) AS hover_text,
+    '<br>WellName: ', WellName, '<br>netpay: ', coalesce(CAST(netpay AS VARCHAR), 'None')) AS hover_text,
   actual_oil, fit_oil
 FROM ({_crossplot('oil', KEYS)}) x"""
 
@@ -298,19 +304,19 @@ WHERE Reservoir IN {LAYERS}
 WELL_PATHS = f"""
 SELECT casename, WellAPI, WellAPI IN {WELLS} AS is_selected, WellName, Latitude, Longitude,
   X AS Easting, Y AS Northing, TD, CompSubId,
-  row_number() OVER (PARTITION BY casename, WellAPI ORDER BY TD, CompSubId) AS point_no
+  row_number() OVER (PARTITION BY casename, WellAPI ORDER BY TD NULLS LAST, CompSubId) AS point_no
 FROM completiondata"""
 
 WELL_LINES = f"""
 SELECT casename, WellAPI, is_selected, 0 AS line_no,
-  list(Longitude ORDER BY TD, CompSubId) AS longitudes, list(Latitude ORDER BY TD, CompSubId) AS latitudes
+  list(Longitude ORDER BY TD NULLS LAST, CompSubId) AS longitudes, list(Latitude ORDER BY TD NULLS LAST, CompSubId) AS latitudes
 FROM ({WELL_POINTS}) p GROUP BY casename, WellAPI, is_selected"""
 
 # Segments between neighbours, gathered by twos: the line of a segment holds its end as well.
 WELL_LINES_SHORT = f"""
 WITH o AS (SELECT *, row_number() OVER w AS n, lead(Longitude) OVER w AS x2, lead(Latitude) OVER w AS y2,
     count(*) OVER (PARTITION BY casename, WellAPI, is_selected) AS size
-  FROM ({WELL_POINTS}) p WINDOW w AS (PARTITION BY casename, WellAPI, is_selected ORDER BY TD, CompSubId)),
+  FROM ({WELL_POINTS}) p WINDOW w AS (PARTITION BY casename, WellAPI, is_selected ORDER BY TD NULLS LAST, CompSubId)),
 s AS (SELECT *, CAST((n - 1) // 2 AS INT) AS line_no FROM o WHERE n < size OR size = 1)
 SELECT casename, WellAPI, is_selected, line_no,
   list_concat(list(Longitude ORDER BY n), CASE WHEN max(size) > 1 THEN [arg_max(x2, n)] ELSE [] END) AS longitudes,
@@ -376,6 +382,59 @@ SELECT DISTINCT casename, list, value FROM (
   SELECT casename, list, value FROM ({FROM_MAP}) m
   UNION ALL SELECT casename, 'injectors', WellAPI FROM well_choice WHERE Status = 2) u"""
 
+# The last prediction of every customer.
+LAST = """, last AS (
+  SELECT concat('CUST', CAST(o_custkey AS VARCHAR)) AS fit, concat('PRED', CAST(max(o_orderkey) AS VARCHAR)) AS name,
+    max(o_orderkey) AS seq, CASE WHEN max(o_orderkey) % 7 <> 0 AND max(o_orderkey) % 11 <> 0
+      THEN concat('blob/', CAST(max(o_orderkey) AS VARCHAR)) END AS stem
+  FROM orders GROUP BY o_custkey
+)"""
+
+# Chosen values as a table. A dimension that a case has not chosen by filters nothing in it.
+CHOICES = f""", picked_values AS (
+  SELECT r_name AS casename, v.list, v.value
+  FROM region JOIN (VALUES (0, 'layers', 'RES_1'), (0, 'layers', 'RES_3'), (1, 'layers', 'no such layer'),
+    (2, 'layers', 'RES_1'), (2, 'layers', 'RES_3'), (2, 'faultblocks', 'FB_0'), (2, 'faultblocks', 'FB_2'),
+    (4, 'layers', 'RES_1'), (4, 'layers', 'RES_3')) v(k, list, value) ON r_regionkey = v.k
+), picked AS MATERIALIZED (SELECT DISTINCT casename, 'Reservoir' AS dimension, value FROM picked_values WHERE list = 'layers'
+  UNION SELECT casename, 'FaultBlock', value FROM picked_values WHERE list = 'faultblocks'
+), chosen AS MATERIALIZED (SELECT * FROM picked UNION SELECT casename, 'WellAPI', value FROM ({FROM_MAP}) m
+)"""
+
+
+def _met(table, dimension, column, source="chosen"):
+    in_case = f"SELECT casename FROM {source} WHERE dimension = '{dimension}'"
+    return (
+        f"({table}.casename NOT IN ({in_case}) OR EXISTS (SELECT 1 FROM {source} s WHERE s.casename = {table}.casename "
+        f"AND s.dimension = '{dimension}' AND s.value = {table}.{column}))"
+    )
+
+
+def _by_choice(table, source="chosen", well="cWellAPI"):
+    columns = {"Reservoir": "Reservoir", "FaultBlock": "FaultBlock"} | ({"WellAPI": well} if well else {})
+    return " AND ".join(_met(table, dimension, column, source) for dimension, column in columns.items())
+
+
+def _crossplot_by_choice():
+    sql = _crossplot("oil", KEYS, "BY_CHOICE")
+    for table in ("measured", "producer_model"):
+        sql = sql.replace("BY_CHOICE", _by_choice(table), 1)
+    return sql
+
+
+def _has(dimension, column):
+    return f"EXISTS (SELECT 1 FROM chosen s WHERE s.casename = x.casename AND s.dimension = '{dimension}' AND s.value = x.{column})"
+
+
+MARKED_BY_CHOICE = f"""
+SELECT * EXCLUDE (w, r, b), (w OR r OR b) AND (WellAPI_selected OR NOT w) AND (Reservoir_selected OR NOT r)
+  AND (FaultBlock_selected OR NOT b) AS is_selected
+FROM (SELECT *, bool_or(WellAPI_selected) OVER c AS w, bool_or(Reservoir_selected) OVER c AS r,
+        bool_or(FaultBlock_selected) OVER c AS b
+      FROM (SELECT x.*, {_has('WellAPI', 'WellAPI')} AS WellAPI_selected, {_has('Reservoir', 'Reservoir')} AS Reservoir_selected,
+              {_has('FaultBlock', 'FaultBlock')} AS FaultBlock_selected, FALSE AS Compartment_selected
+            FROM ({_crossplot('oil', KEYS)}) x) y WINDOW c AS (PARTITION BY casename)) z"""
+
 FIT_SUMMARY = """
 SELECT casename, CAST(FitStartDate AS VARCHAR) AS fit_startdate, CAST(FitEndDate AS VARCHAR) AS fit_enddate,
   CASE WHEN IsBacktest THEN 'BT' ELSE 'FF' END AS fit_type,
@@ -428,6 +487,10 @@ ORACLES = {
     "actual_series_by_well": _actual("gross", ("WellAPI", "Type")),
     "actual_series_filtered": _actual("water", ("Compartment",), ALL_CHOSEN),
     "actual_series_one_case": _actual("oil", ("Reservoir",), f"casename = 'ASIA' AND Reservoir IN {LAYERS}"),
+    "well_counts_by_reservoir": "SELECT casename, d AS date, Reservoir, count(DISTINCT WellAPI) AS wellcount "
+    "FROM measured WHERE Status = 1 GROUP BY casename, d, Reservoir",
+    "well_counts_merged": "SELECT casename, d AS date, 'field' AS field, count(DISTINCT WellAPI) AS wellcount "
+    "FROM measured WHERE Status = 1 GROUP BY casename, d",
     "series_groups": SERIES_GROUPS,
     "series_with_props": SERIES_WITH_PROPS,
     **{f"fit_series_{phase}": _fit(phase) for phase in RATE},
@@ -445,6 +508,21 @@ ORACLES = {
     "top_layers": _top("Reservoir"),
     "top_wells_one_case": _top("WellName", where="casename = 'ASIA'"),
     **{f"crossplot_{phase}": _crossplot(phase, KEYS) for phase in RATE},
+    "actual_series_by_selection": f"{CHOICES} {_actual('oil', ('Reservoir',), _by_choice('measured'))}",
+    "field_series_by_selection": f"{CHOICES} {_actual('gross', (), _by_choice('measured', 'picked', None))}",
+    "fit_series_by_selection": f"{CHOICES} {_fit('water', '10', '90', ('FaultBlock',), _by_choice('producer_model'))}",
+    "fit_band_by_selection": f"""{CHOICES}
+SELECT casename, coalesce(Reservoir, 'NA') AS Reservoir, type_of_fit,
+  list_concat(list(CAST(date AS VARCHAR) ORDER BY date), list(CAST(date AS VARCHAR) ORDER BY date DESC)) AS x,
+  list_concat(list(oil_rate_p25 ORDER BY date), list(oil_rate_p75 ORDER BY date DESC)) AS y
+FROM ({_fit('oil', dims=('Reservoir',), where=_by_choice('producer_model'))}) s
+GROUP BY casename, coalesce(Reservoir, 'NA'), type_of_fit""",
+    "crossplot_by_selection": f"{CHOICES} {_crossplot_by_choice()}",
+    "crossplot_marked_by_selection": f"{CHOICES} {MARKED_BY_CHOICE}",
+    "well_points_by_selection": f"""{CHOICES}
+SELECT c.casename, Reservoir, {POINT_COLUMNS}, Type, s.WellAPI IS NOT NULL AS is_selected
+FROM completiondata c LEFT JOIN selected_points s ON c.casename = s.casename AND c.WellAPI = s.WellAPI
+WHERE {_by_choice('c', well=None)}""",
     "crossplot_default_keys": _crossplot("oil", ("WellAPI", "WellName", "Reservoir")),
     "crossplot_without_wells": _crossplot("gross", ("Compartment",)),
     "crossplot_hide_unselected": _crossplot("oil", ("Type", "WellAPI", "WellName"), ALL_CHOSEN),
@@ -467,13 +545,32 @@ ORACLES = {
     "resolve_selection": FROM_MAP,
     "resolve_selection_from_crossplot": FROM_CROSSPLOT,
     "merge_selection": MERGED,
+    "artefact_documents": f"""{LAST}
+SELECT fit, name, path, status, CASE WHEN status = 'read' THEN seq % 100 * CAST(0.25 AS DOUBLE) END AS loss,
+  CASE WHEN status = 'read' THEN concat('W', CAST(CASE k WHEN 1 THEN 1 ELSE seq END AS VARCHAR)) END AS well,
+  CASE WHEN status = 'read' AND k = 1 THEN CAST(0.5 AS DOUBLE) END AS r2
+FROM (SELECT *, stem || '.json' AS path, CASE WHEN stem IS NULL THEN 'no path' WHEN seq % 5 = 0 THEN 'missing'
+        WHEN seq % 13 = 0 THEN 'broken' ELSE 'read' END AS status FROM last) l
+JOIN (VALUES (1), (2)) v(k) ON k = 1 OR status = 'read'""",
+    "artefact_cells": f"""{LAST}
+SELECT l.fit, l.name, status, line, position, header, CASE WHEN line = 2 AND position = 1 THEN CAST(seq AS VARCHAR) ELSE value END AS value
+FROM (SELECT *, CASE WHEN stem IS NULL THEN 'no path' WHEN seq % 5 = 0 THEN 'missing' ELSE 'read' END AS status FROM last) l
+LEFT JOIN (VALUES (CAST(1 AS BIGINT), 0, 'Well', 'W1'), (1, 1, 'W1', '0.5'), (1, 2, 'W,2', NULL),
+  (2, 0, 'Well', 'W,2'), (2, 1, 'W1', NULL), (2, 2, 'W,2', 'x "y"' || chr(10) || 'z')) c(line, position, header, value) ON status = 'read'""",
+    "actual_series_from_layout": _actual("oil", ("Compartment", "Type")),
+    "crossplot_from_layout": _crossplot("gas", KEYS),
+    "loaded_counts": f"""
+SELECT s.*, r.rejected_rows FROM ({SUMMARY}) s
+LEFT JOIN (SELECT casename, count(*) AS rejected_rows FROM productiondata WHERE Month > 12 GROUP BY casename) r USING (casename)""",
+    "list_records": "SELECT * FROM fit_runs WHERE CAST(substr(casename, 4) AS BIGINT) % 17 <> 0",
+    "list_rejects": "SELECT casename FROM fit_runs WHERE CAST(substr(casename, 4) AS BIGINT) % 17 = 0",
     "latest_prediction": "SELECT fit, max_by(name, seq) AS latest FROM predictions GROUP BY fit",
     "artefact_paths": """
-SELECT fit, name, 'final' AS stage, 'SensitivityMatrixCumWWell.csv' AS file, concat(stem, '.csv') AS path
-FROM predictions
-UNION ALL SELECT fit, name, 'intermediateOutput', 'fit_output.json', concat(stem, '.json') FROM predictions""",
-    "artefact_path": "SELECT name, concat(stem, '.json') AS fit_output, concat(stem, '.csv') AS sensitivity "
-    "FROM predictions",
+SELECT fit, name, 'final' AS stage, 'SensitivityMatrixCumWWell.csv' AS file, stem || '.csv' AS path
+FROM predictions WHERE stem IS NOT NULL
+UNION ALL SELECT fit, name, 'intermediateOutput', 'fit_output.json', stem || '.json' FROM predictions WHERE stem IS NOT NULL
+UNION ALL SELECT fit, name, NULL, NULL, NULL FROM predictions WHERE stem IS NULL""",
+    "artefact_path": "SELECT name, stem || '.json' AS fit_output, stem || '.csv' AS sensitivity FROM predictions",
 }
 
 ORACLES = {name: f"{TABLES.strip()}\n{sql.strip()}" for name, sql in ORACLES.items()}

@@ -12,6 +12,8 @@ SETTINGS = {
     # A side too large to broadcast is hashed instead of sorting both, as long as
     # each of its shuffle partitions was measured to be no larger than this.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Tables bucketed by completion join by case and completion without a shuffle.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     # Call sites are not recorded per column, which halves the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -1,12 +1,24 @@
 """Files that belong to a case: from its manifest to the data behind it."""
 
+import csv
+import io
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldlens.sources.files import below, opened, tasks
+
 # Stages of a manifest and the two files read from them.
 FIT_OUTPUT = ("intermediateOutput", "fit_output.json")
 SENSITIVITY_MATRIX = ("final", "SensitivityMatrixCumWWell.csv")
 
+# What became of a path.
+READ, MISSING, UNREADABLE, TOO_LARGE, BROKEN, NO_PATH = "read", "missing", "unreadable", "too large", "broken", "no path"
+#: Bytes of contents that a task gathers, and cells.
+GATHERED, CELLS = 8 << 20, 50_000
+
 _TEXT = T.StringType()
 MANIFEST = T.StructType(
     [T.StructField("files", T.MapType(_TEXT, T.MapType(_TEXT, _TEXT)), True)]
@@ -49,3 +61,117 @@ def read_csv_artefact(spark, paths, schema=None):
     reader = spark.read if schema is None else spark.read.schema(schema)
     frame = reader.csv(paths, header=True, inferSchema=schema is None)
     return frame.withColumn("source_file", F.input_file_name())
+
+
+def read_contents(paths, column="path", root=None, largest=256 << 20):
+    """Rows with the `content` behind a column of paths, and the `status` of each.
+
+    Files are opened inside tasks, so neither paths nor contents pass the driver, and a bad one stops nothing. A
+    path without a scheme or leading slash is taken below `root`. What is larger than `largest` bytes fits no row; the readers above take it.
+    """
+    schema = T.StructType([*paths.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("status", _TEXT)])
+
+    def run(batches):
+        for batch in batches:
+            first, contents, states, size = 0, [], [], 0
+            for i, path in enumerate(batch.column(column).to_pylist()):
+                content, status = _content(path, root, largest)
+                contents.append(content), states.append(status)
+                size += len(content or b"")
+                if size >= GATHERED:
+                    yield _with(batch.slice(first, i + 1 - first), contents, states)
+                    first, contents, states, size = i + 1, [], [], 0
+            yield _with(batch.slice(first), contents, states)
+
+    return paths.repartition(tasks(paths.sparkSession), column).mapInArrow(run, schema)
+
+
+def _with(batch, contents, states):
+    arrays = [*batch.columns, pa.array(contents, pa.binary()), pa.array(states, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "content", "status"])
+
+
+def _content(path, root, largest):
+    if path is None:
+        return None, NO_PATH
+    try:
+        system, name = opened(below(root, path))
+        with system.open_input_file(name) as file:
+            return (None, TOO_LARGE) if file.size() > largest else (file.read(), READ)
+    except FileNotFoundError:
+        return None, MISSING
+    except (OSError, ValueError):
+        return None, UNREADABLE
+
+
+def write_contents(contents, root, column="path", content="content"):
+    """One file per row, written inside tasks below `root`; returns rows of (path, size) once all are there.
+
+    A file appears whole or not at all, and writing it again replaces it, as a task that is run again does.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sizes = []
+            for path, data in zip(batch.column(column).to_pylist(), batch.column(content).to_pylist(), strict=True):
+                system, name = opened(below(root, path))
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                part = f"{name}.part-{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data or b"")
+                system.move(part, name)
+                sizes.append(len(data or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(column), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return contents.select(column, content).mapInArrow(run, "path string, size long")
+
+
+def json_documents(contents, schema):
+    """Contents parsed as JSON of a schema into `document`; what does not parse is broken."""
+    struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    wide = T.StructType([*struct.fields, T.StructField("_broken", _TEXT)])
+    parsed = contents.withColumn("parsed", F.from_json(F.decode("content", "UTF-8"), wide, {"columnNameOfCorruptRecord": "_broken"}))
+    fits = F.col("parsed").isNotNull() & F.col("parsed._broken").isNull()
+    document = F.when(fits, F.struct(*[F.col("parsed").getField(name).alias(name) for name in struct.names]))
+    status = F.when((F.col("status") == READ) & ~fits, F.lit(BROKEN)).otherwise(F.col("status"))
+    rest = [name for name in contents.columns if name not in ("content", "status")]
+    return parsed.select(*rest, status.alias("status"), document.alias("document"))
+
+
+def csv_cells(contents):
+    """Contents read as CSV with a header: a row per cell with line, position, header and value; empty cells are NULL.
+
+    Files may have different columns, so cells are rows. A file that was not read stays as one row without a cell.
+    """
+    kept = [f for f in contents.schema.fields if f.name != "content"]
+    cell = [("line", T.LongType()), ("position", T.IntegerType()), ("header", _TEXT), ("value", _TEXT)]
+    clash = {name for name, _ in cell} & {f.name for f in kept}
+    if clash:
+        raise ValueError(f"cells have columns of the same name: {sorted(clash)}")
+    schema = T.StructType([*kept, *[T.StructField(n, kind) for n, kind in cell]])
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
+
+    def batch_of(batch, owners, cells):
+        columns = list(zip(*cells, strict=True)) or [()] * 4
+        taken = [batch.column(f.name).take(pa.array(owners, pa.int64())) for f in kept]
+        return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], schema.names)
+
+    def cells_of(content):
+        reader = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace", newline=""))
+        header = next(reader, [])
+        for line, values in enumerate((row for row in reader if row), 1):
+            for position, value in enumerate(values):
+                yield line, position, header[position] if position < len(header) else None, value or None
+
+    def run(batches):
+        for batch in batches:
+            owners, cells = [], []
+            for i, content in enumerate(batch.column("content")):
+                for one in cells_of(content.as_py()) if content.is_valid else [(None,) * 4]:
+                    owners.append(i), cells.append(one)
+                    if len(cells) >= CELLS:
+                        yield batch_of(batch, owners, cells)
+                        owners, cells = [], []
+            yield batch_of(batch, owners, cells)
+
+    return contents.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions.measures import is_month
 from fieldlens.sources.schema import SCHEMAS
 
 
@@ -30,19 +31,15 @@ def load(spark, folder, fmt="parquet", check=True, schemas=SCHEMAS):
         name: spark.read.schema(schema).format(fmt).load(f"{folder}/{name}")
         for name, schema in schemas.items()
     }
-    everything = frames["productiondata"]
-    frames["productiondata"] = everything.filter(_is_month())
-    tables = Tables(**frames, rejected=everything.filter(~_is_month()))
+    tables = Tables(**frames, rejected=rejects_of(frames["productiondata"]))
     if check:
         check_tables(tables)
     return tables
 
 
-def _is_month():
-    """True for calendar months and for unknown ones."""
-    return F.coalesce(F.col("Month").between(1, 12), F.lit(True)) & F.coalesce(
-        F.col("Year").between(1, 9999), F.lit(True)
-    )
+def rejects_of(production):
+    """Production rows whose year or month is no calendar month."""
+    return production.filter(~is_month("Year", "Month"))
 
 
 def check_tables(tables):

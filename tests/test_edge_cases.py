@@ -8,7 +8,7 @@ from frames import completion, fit_info, producer_steps, production, rows
 from pyspark.sql import functions as F
 
 from fieldlens.functions import labels, measures
-from fieldlens.operators import crossplot, grouping, modelled, options, selection, series, summary, totals, wellmap
+from fieldlens.operators import crossplot, grouping, modelled, options, selection, series, summary, totals, wellcounts, wellmap
 from fieldlens.operators.filters import picks
 from fieldlens.sources.tables import list_cases
 
@@ -420,3 +420,81 @@ def test_the_forecast_stays_next_to_the_measured_rows(spark):
     )
     both = modelled.actual_with_band(actual, fit, (), "oil").orderBy("date").collect()
     assert [(str(r.date), r.field, r.oil, r.oil_rate_p50) for r in both] == [("2020-01-01", "f", 1.0, None), ("2020-02-01", "f", None, 2.0)]
+
+
+# Bitmaps of wells
+
+
+def test_bitmaps_count_each_well_once_at_any_level(spark):
+    wells = [f"w{i}" for i in range(40)]
+    prod = production(
+        spark, *[{"WellAPI": w, "CompSubId": c} for w in wells for c in ("1", "2")], {"WellAPI": None}, {"WellAPI": "w0", "Month": 13},
+        {"casename": "B", "WellAPI": None, "Month": 2},
+    )
+    comp = completion(spark, *[{"WellAPI": w, "CompSubId": c, "Reservoir": f"R{c}"} for w in wells for c in ("1", "2")])
+    numbers = wellcounts.well_numbers(prod)
+    assert sorted(row.number for row in numbers.collect()) == list(range(40))
+    fine = wellcounts.well_bitmaps(prod, comp, "oil", ["Reservoir"], numbers)
+    first, later = datetime.date(2020, 1, 1), datetime.date(2020, 2, 1)
+    by_layer = rows(wellcounts.well_counts(fine, ["Reservoir"]), "casename", "date", "Reservoir", "wellcount")
+    assert by_layer == sorted([("A", first, "R1", 40), ("A", first, "R2", 40), ("A", first, None, 0), ("A", None, "R1", 1), ("B", later, None, 0)], key=repr)
+    whole = rows(wellcounts.well_counts(fine), "casename", "date", "wellcount")
+    assert whole == sorted([("A", first, 40), ("A", None, 1), ("B", later, 0)], key=repr)
+    assert fine.filter("part is not null").count() < prod.select("Month", "CompSubId", "WellAPI").distinct().count() / 20
+
+
+# Chosen values as a table
+
+
+def _chosen(spark, *values):
+    return spark.createDataFrame(list(values), "casename string, list string, value string")
+
+
+def _two_cases(spark):
+    prod = production(
+        spark, {}, {"CompSubId": "2", "Qo": 4.0}, {"WellAPI": "w9", "Qo": 16.0},
+        {"casename": "B"}, {"casename": "B", "WellAPI": "w9", "Qo": 16.0}, {"casename": "C", "Qo": 64.0},
+    )
+    comp = completion(
+        spark, {}, {"CompSubId": "2", "Reservoir": "R2", "Compartment": None}, {"casename": "B"}, {"casename": "C", "Reservoir": "R2"},
+    )
+    return prod, comp
+
+
+def test_a_list_that_a_case_lacks_filters_nothing(spark):
+    prod, comp = _two_cases(spark)
+
+    def oil(*values):
+        return rows(series.actual_series(prod, comp, "oil", chosen=_chosen(spark, *values)), "casename", "oil")
+
+    assert oil() == [("A", 21.0), ("B", 17.0), ("C", 64.0)]
+    assert oil(("A", "layers", "R1"), ("A", "layers", "R1")) == [("A", 1.0), ("B", 17.0), ("C", 64.0)]
+    assert oil(("A", "layers", "R1"), ("B", "producers", "w1"), ("C", "layers", "R1")) == [("A", 1.0), ("B", 1.0)]
+    assert oil(("A", "producers", "w1"), ("A", "injectors", "w9"), ("A", "compartments", "C1")) == [("A", 1.0), ("B", 17.0), ("C", 64.0)]
+    assert oil(("A", "layers", None), ("A", "colours", "red"), (None, "layers", "R1")) == [("A", 21.0), ("B", 17.0), ("C", 64.0)]
+
+
+def test_lists_and_tables_of_chosen_values_agree(spark):
+    prod, comp = _two_cases(spark)
+    listed = picks(wells=["w1"], layers=["R1", "R2"], compartments=["C1"])
+    table = _chosen(spark, *[(c, n, v) for c in "ABC" for n, v in [("producers", "w1"), ("layers", "R1"), ("layers", "R2"), ("compartments", "C1")]])
+    for dims in ([], ["Reservoir"]):
+        one, other = (rows(series.actual_series(prod, comp, "gross", dims, chosen=c)) for c in (listed, table))
+        assert one == other
+    points = spark.createDataFrame(
+        [("A", "w1", "R1"), ("A", "w1", "R3"), ("A", "w2", "R1"), ("B", "w3", "R1"), ("C", "w1", "R3")],
+        "casename string, WellAPI string, Reservoir string",
+    )
+    keys = ["WellAPI", "Reservoir"]
+    assert rows(crossplot.mark_selected(points, keys, listed)) == rows(crossplot.mark_selected(points, keys, table))
+    assert rows(wellmap.well_points(comp, chosen=listed)) == rows(wellmap.well_points(comp, chosen=table))
+
+
+def test_crossplot_is_the_join_of_its_sides(spark):
+    tables = _crossplot_tables(spark)
+    for keys in (["Reservoir"], ["WellAPI", "WellName"], ["Type", "Compartment"]):
+        args = (tables.completiondata, tables.fit_info, "oil", keys)
+        actual, fit = crossplot.actual_cum(tables.productiondata, *args), crossplot.fit_cum(tables.producer_timestep, *args)
+        both = crossplot.crossplot(tables, "oil", [k for k in keys if k != "WellName"], include_wells="WellName" in keys)
+        joined = actual.join(fit, ["casename", *keys]).select(both.columns)
+        assert rows(both) == rows(joined)

@@ -1,9 +1,12 @@
 """What the plans do: pushed filters, early cuts, nothing computed that is not asked for."""
 
+import re
+
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 
-from fieldlens.operators import series, summary, totals
+from fieldlens.operators import crossplot, filters, series, summary, totals, wellmap
 from fieldlens.plans.catalogue import QUERIES
 from fieldlens.plans.derived import DerivedTables
 
@@ -64,6 +67,47 @@ def test_scans_read_only_what_is_used(t, plan_of):
     assert len(read) == 1 and "l_orderkey" not in read[0]
 
 
+def exchanges(frame):
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final, len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange hashpartitioning", final))
+
+
+def test_crossplot_sums_both_sides_in_one_exchange(t):
+    """One for the sums per completion, one for those per key."""
+    plan, shuffles = exchanges(crossplot.crossplot(t, "oil", ["Reservoir", "FaultBlock"]))
+    derived = exchanges(t.producer_timestep)[1]
+    assert shuffles - derived == 2 and "SortMergeJoin" not in plan
+
+
+def test_marking_runs_the_points_once(spark, t):
+    points = crossplot.crossplot(t, "oil", ["Reservoir"])
+    keys = crossplot.crossplot_keys(["Reservoir"])
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup())
+    marked = crossplot.mark_selected(points, keys, filters.picks(wells=["W1"], layers=["RES_1"]))
+    assert len(jobs.getJobIdsForGroup()) == before
+    plan, _ = exchanges(marked)
+    assert "ReusedExchange" in plan and plan.count("lineitem.parquet") == exchanges(points)[0].count("lineitem.parquet")
+
+
+def test_paths_are_lazy(spark, t):
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup())
+    paths = wellmap.well_paths(wellmap.well_points(t.completiondata))
+    assert len(jobs.getJobIdsForGroup()) == before and paths.count() == t.completiondata.count()
+
+
+def test_many_chosen_values_stay_out_of_the_plan(spark, t, plan_of):
+    cases = t.fit_info.select("casename")
+    chosen = spark.range(100_000).select(F.concat(F.lit("W"), F.col("id").cast("string")).alias("value"), F.lit("producers").alias("list")).join(cases)
+    frame = series.actual_series(t.productiondata, t.completiondata, "oil", ["Reservoir"], chosen=chosen)
+    plan = plan_of(frame)
+    assert len(plan) < 20_000 and "W99999" not in plan
+    assert frame.count() > 0
+
+
 @pytest.mark.parametrize("name", ["case_summary", "crossplot_oil", "fit_series_oil"])
 def test_no_hinted_broadcast(spark, name, plan_of):
     """Without a checked size nothing is broadcast."""

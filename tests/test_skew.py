@@ -7,7 +7,7 @@ from frames import PRODUCTION_DEFAULTS, completion, rows
 from pyspark.sql import functions as F
 
 from fieldlens.operators import options, series, summary, totals
-from fieldlens.operators.grouping import number_rows
+from fieldlens.operators.grouping import depth_bin, number_along
 
 
 @pytest.fixture(scope="module")
@@ -52,29 +52,25 @@ def test_hot_well_with_merged_joins(spark, hot, merged_joins):
 
 
 def test_numbering_splits_a_hot_key(spark):
-    shuffled = [("hot", i) for i in range(2000)] + [(f"k{i % 40}", i) for i in range(4000)]
-    random.Random(7).shuffle(shuffled)
-    frame = spark.createDataFrame(shuffled, "k string, v int").repartition(8)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        numbered = number_rows(frame, ["k"], [F.col("v").asc_nulls_last()], "n")
-        got = {key: [] for key, _ in shuffled}
-        for row in numbered.orderBy("n").collect():
-            got[row.k].append((row.n, row.v))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rng = random.Random(7)
+    values = [None, float("nan"), float("inf"), -float("inf"), 0.0, -1e-300, 1e300, *(rng.uniform(-9000, 9000) for _ in range(900)), *range(400)]
+    shuffled = [(f"k{i % 40}" if i % 3 else "hot", rng.choice(values), i) for i in range(6000)]
+    frame = spark.createDataFrame([(k, None if v is None else float(v), f"{i:05}") for k, v, i in shuffled], "k string, v double, tie string").repartition(8)
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup())
+    numbered = number_along(frame, ["k"], "v", "tie", "n")
+    assert len(jobs.getJobIdsForGroup()) == before
+    got = {key: [] for key, _, _ in shuffled}
+    for row in numbered.orderBy("n").collect():
+        got[row.k].append((row.n, row.tie))
+    last = lambda v: (v is None, v is not None and v != v, v if v is not None and v == v else 0)
     for key, pairs in got.items():
-        values = sorted(v for k, v in shuffled if k == key)
-        assert pairs == list(enumerate(values, start=1))
+        ties = [f"{i:05}" for _, i in sorted(((last(v), i) for k, v, i in shuffled if k == key))]
+        assert pairs == list(enumerate(ties, start=1))
 
 
-def test_numbering_uses_several_slices(spark):
-    """The range that holds the hot key is cut by the order column."""
-    frame = spark.createDataFrame([("hot", i) for i in range(4000)], "k string, v int").repartition(8)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        sliced = frame.repartitionByRange("k", F.col("v").asc_nulls_last()).select(F.spark_partition_id().alias("slice"))
-        sizes = [row["count"] for row in sliced.groupBy("slice").count().collect()]
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(sizes) > 4 and max(sizes) < 2000
+def test_a_hot_well_lies_in_many_bins(spark):
+    """No bin of the histogram holds more than a small share of a well that is drilled evenly."""
+    depths = spark.range(100_000).select((F.col("id") * 0.05 + 3000).alias("td"))
+    sizes = [row["count"] for row in depths.groupBy(depth_bin(F.col("td"))).count().collect()]
+    assert len(sizes) > 1000 and max(sizes) < 200

@@ -1,13 +1,17 @@
 """Loading tables, JSON records and artefact files."""
 
+import datetime
 import json
+import random
 
 import frames
 import pytest
 from frames import completion, fit_info, production, rows
+from pyspark.sql import functions as F
 
-from fieldlens.operators import series
-from fieldlens.sources import artefacts, records, schema, tables
+from fieldlens.functions import measures
+from fieldlens.operators import joins, options, series, summary
+from fieldlens.sources import artefacts, layout, records, schema, tables
 
 
 @pytest.fixture
@@ -25,10 +29,17 @@ def folder(spark, tmp_path):
 
 def test_load_checks_months_and_keeps_rejects(spark, folder):
     loaded = tables.load(spark, folder)
-    assert rows(loaded.productiondata, "casename", "Month") == [("A", 1), ("B", None)]
+    assert rows(loaded.productiondata, "casename", "Month") == [("A", 1), ("B", 1), ("B", 13), ("B", None)]
     assert rows(loaded.rejected, "casename", "Year", "Month") == [("B", 0, 1), ("B", 2020, 13)]
-    by_month = series.production_by_month(loaded.productiondata).collect()
-    assert [row.date is None for row in by_month] == [False, True]
+    by_month = series.production_by_month(loaded.productiondata)
+    assert rows(by_month, "casename", "date", "oil") == [("A", datetime.date(2020, 1, 1), 1.0), ("B", None, 3.0)]
+
+
+def test_a_well_of_impossible_months_only_is_counted(spark):
+    prod = production(spark, {}, {"WellAPI": "w2", "Month": 13, "Qs": 1.0}, {"WellAPI": "w3", "Month": 0, "Year": None})
+    assert rows(summary.count_wells(prod)) == [("A", 3)]
+    assert rows(options.well_options(prod, completion(spark, {})), "WellAPI") == [("w1",), ("w2",), ("w3",)]
+    assert rows(prod.filter(~measures.is_month("Year", "Month")), "WellAPI") == [("w2",), ("w3",)]
 
 
 def test_one_case_reads_only_its_files(spark, folder, capsys):
@@ -108,3 +119,104 @@ def test_from_manifest_to_files(spark, tmp_path):
     assert all(row.source_file.endswith("matrix.csv") for row in table.collect())
     typed = artefacts.read_csv_artefact(spark, matrix, "Well string, w1 double, w2 double")
     assert typed.dtypes[2] == ("w2", "double")
+
+
+ODD = [
+    {"a": 1, "t": 'brace } and "quote" \\'}, {"a": 2, "t": "[1, {2}, \\\\"}, {"a": None, "t": "é" * 50}, {"a": 4, "t": "\n\t,"},
+    {"a": "no number", "t": "x"}, {"a": 6, "t": "x", "more": [[1, 2], {"b": "]"}]}, 7, "text, with a comma", [1, 2], None,
+]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_lists_are_read_by_ranges_of_any_size(spark, tmp_path, chunk, indent):
+    rng = random.Random(chunk)
+    for k in range(3):
+        some = [rng.choice(ODD) for _ in range(30 if chunk > 1 else 8)]
+        (tmp_path / f"{k}.json").write_text(json.dumps(some, indent=indent, ensure_ascii=k == 1))
+    (tmp_path / "empty.json").write_text(" [ ] \n")
+    (tmp_path / "single.json").write_text('{"a": 50, "t": "[{"}')
+    found = records.list_elements(spark, str(tmp_path), chunk).collect()
+    for k in range(3):
+        whole = json.loads((tmp_path / f"{k}.json").read_text())
+        own = sorted((row.start, row.text) for row in found if row.path.endswith(f"/{k}.json"))
+        assert [json.loads(text) for _, text in own] == whole
+    assert not [row for row in found if "empty" in row.path] and [row.start for row in found if "single" in row.path] == [0]
+
+
+def test_broken_records_go_to_the_rejects(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": "x"}, , {"a": 2, "t": "y"}, {"a": nonsense}, 5]')
+    (tmp_path / "b.json").write_text('[{"a": 3}, {"a": 4, "t": "open]')
+    kept, rejects = records.records_and_rejects(spark, str(tmp_path), "a int, t string", lines=False, chunk=16)
+    assert rows(kept) == [(1, None), (2, "y"), (3, None)]
+    assert sorted(row.text for row in rejects.collect()) == sorted(["", '{"a": "x"}', '{"a": nonsense}', "5", '{"a": 4, "t": "open]'])
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "c.json").write_text('{"a": 1}\n\n{"a": "x"}\n{"a": 2\n{"a": 9, "t": "z"}\n')
+    kept, rejects = records.records_and_rejects(spark, str(lines), "a int, t string")
+    assert rows(kept) == [(1, None), (9, "z")]
+    assert rows(rejects, "text") == [('{"a": "x"}',), ('{"a": 2',)]
+
+
+def test_a_list_is_read_by_several_tasks_and_equals_one(spark, tmp_path):
+    frame = fit_info(spark, *[{"casename": f'C "{i}" ]}}'} for i in range(500)]).coalesce(1)
+    out = str(tmp_path / "lists")
+    records.write_record_lists(frame, out)
+    elements = records.list_elements(spark, out, 1 << 12)
+    by_task = [n for n in elements.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert len(by_task) > 3
+    kept, rejects = records.records_and_rejects(spark, out, schema.FIT_INFO, lines=False, chunk=1 << 12)
+    assert rows(kept) == rows(frame) == rows(records.read_records(spark, f"{out}/part-*", schema.FIT_INFO, lines=False))
+    assert rejects.count() == 0
+
+
+def test_contents_of_a_column_of_paths(spark, tmp_path):
+    documents = {"a.json": '{"loss": 1.5, "wells": []}', "b.json": '{"loss": ', "c/d.json": "", "m.csv": 'W,"x\ny"\n1,"2"\n\n,3,4\n'}
+    frame = spark.createDataFrame([(k, v.encode()) for k, v in documents.items()], "path string, content binary")
+    assert rows(artefacts.write_contents(frame, str(tmp_path))) == rows(artefacts.write_contents(frame, str(tmp_path)))
+    (tmp_path / "folder").mkdir()
+    paths = [*documents, "missing", None, "folder", f"file:{tmp_path}/a.json", f"file://{tmp_path}/a.json", "nosuch://x/y"]
+    wanted = spark.createDataFrame(list(enumerate(paths)), "k long, path string").repartition(3)
+    read = artefacts.read_contents(wanted, root=str(tmp_path))
+    status = dict(rows(read, "k", "status"))
+    assert [status[k] for k in range(10)] == ["read"] * 4 + ["missing", "no path", "unreadable", "read", "read", "unreadable"]
+    parsed = artefacts.json_documents(read.filter("k <> 3"), "loss double, wells array<string>")
+    assert rows(parsed, "k", "status", "document.loss")[:3] == [(0, "read", 1.5), (1, "broken", None), (2, "broken", None)]
+    cells = artefacts.csv_cells(read.filter("k in (3, 4)"))
+    assert rows(cells.filter("k = 3"), "line", "position", "header", "value") == [
+        (1, 0, "W", "1"), (1, 1, "x\ny", "2"), (2, 0, "W", None), (2, 1, "x\ny", "3"), (2, 2, None, "4"),
+    ]
+    assert rows(cells.filter("k = 4"), "status", "line", "value") == [("missing", None, None)]
+    assert rows(artefacts.read_contents(wanted, root=str(tmp_path), largest=5).filter("k = 0"), "status") == [("too large",)]
+
+
+def test_bucketed_tables_join_without_moving_the_fact(spark, tmp_path):
+    parts = frames.tables(
+        spark, [{"WellAPI": f"w{i % 7}", "CompSubId": str(i % 3), "Month": i % 13 + 1} for i in range(200)],
+        [{"WellAPI": f"w{i}", "CompSubId": str(c), "Reservoir": f"R{c}"} for i in range(7) for c in range(3)], [{}],
+        [{"WellId": f"w{i % 7}", "CompletionId": i % 3, "OilRateP50": 1.0, "Date": datetime.date(2020, 2 + i % 9, 1)} for i in range(63)],
+    )
+    layout.write_layout(parts, str(tmp_path / "laid"), "bucketed", buckets=8)
+    laid = layout.read_layout(spark, "bucketed")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = joins.with_completion(joins.production_rows(laid.productiondata, "Qo"), laid.completiondata, ["Reservoir"])
+        sums = joined.groupBy("casename", "well", "completion").agg(F.sum("Qo").alias("Qo"))
+        assert "Exchange" not in plan_text(sums)
+        modelled = joins.with_completion(joins.step_rows(laid.producer_timestep, "OilRateP50"), laid.completiondata, ["Reservoir"], numbered=True)
+        plan = plan_text(modelled)
+        assert plan.count("Exchange") == 1 and "producer_timestep" not in plan[plan.index("Exchange"):].split("Exchange")[1]
+        one = joins.with_completion(joins.production_rows(laid.productiondata, "Qo", case="A"), laid.completiondata, ["Reservoir"], case="A")
+        assert "PartitionFilters: [isnotnull(casename" in plan_text(one)
+        for dims in (["Reservoir"], ["WellAPI"]):
+            assert rows(series.actual_series(laid.productiondata, laid.completiondata, "oil", dims)) == rows(
+                series.actual_series(parts.productiondata, parts.completiondata, "oil", dims)
+            )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def plan_text(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
