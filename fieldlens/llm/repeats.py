@@ -8,18 +8,21 @@ into phrases; a phrase here is a trigger with ``LENGTH - KEY`` bytes before and
 holds every string that has this trigger. The dictionary is the set of distinct phrases with the smallest
 document of each; the parse of a text is the list of its phrases.
 
-1. Documents are dealt into batches. A batch sorts its triggers; one that has a single phrase in the batch is sent with
-   the phrase and its smallest document, one with several only as such.
+1. Documents are dealt into batches. A batch parses its texts and sorts its phrases by trigger; a trigger with a single phrase in the
+   batch is sent with the phrase's hash and its smallest document, one with several only with their number.
 2. Dictionary: per share of the triggers, the batches' sorted lists are merged. A phrase that a smaller document of
    another batch holds answers for all of its strings at once. A trigger with one phrase in all batches
-   needs no more. For the others, the strings inside the dictionary's phrases are compared: only the batch that holds a
-   phrase first lists them, so text repeated a thousand times is listed once.
-3. Suffixes of dictionary phrases are put in the order of their ``LENGTH``-byte prefixes (by 64-bit hash, as only equality
-   matters), and the smallest document of each run of equals is returned where it lies in another batch.
-4. Each batch marks the bytes and cuts.
+   needs no more. For the others, the batches send each distinct phrase once, as bytes.
+3. The suffixes of the dictionary's phrases are ranked by prefix doubling, 8, 16, 32 and ``LENGTH`` bytes long, which is the suffix array as
+   far as it matters; suffixes of one rank are equal byte by byte. The smallest document of each rank tells, per phrase and string,
+   whether an earlier document than the batch's own first holds it: a mask of a bit per string.
+4. The parse takes this back to the corpus: an occurrence of a phrase goes where the mask says so, and as a whole if its document is not the
+   phrase's first in the batch. Each batch marks the bytes and cuts.
 
-Lists travel as packed sorted arrays, at most one entry for a key and batch, so a hot key has an entry per batch and not
-per row. Texts are shuffled once.
+Two phrases count as equal without their bytes only if the 64-bit hashes of trigger and of phrase both agree.
+
+Lists travel as packed sorted arrays, at most one entry for a phrase and batch, so a hot one has an entry per batch and not
+per row. A trigger with more than ``HOT`` phrases sends their strings instead, dealt by the strings' own hashes. Texts are shuffled once.
 
 Defined cases: null text is empty; a null doc_id takes no part, nothing of it goes; rows with equal doc_id are no smaller than one
 another; a text shorter than ``LENGTH`` stays whole; columns to be carried are named, others are ignored.
@@ -47,6 +50,11 @@ SHARE = 16 << 20
 #: Bytes looked at together; positions within must fit the low bits below.
 PIECE = 1 << 20
 LOW = np.uint64(PIECE - 1)
+#: Phrases of a trigger that are ranked together, and bytes of phrases ranked in one go.
+HOT = 1 << 14
+RANKED = 2 << 20
+#: Strings of a phrase at most.
+STRINGS = LENGTH - KEY + 1
 #: Odd base of the rolling hash (a fixed value).
 BASE = 0x9E3779B97F4A7C15
 
@@ -81,7 +89,7 @@ class Rolling:
 
 
 class Parse:
-    """The triggers of a batch of texts: row, place, first and last string they stand for, key and phrase hash."""
+    """The triggers of a batch of texts: row, first and last string they stand for, where the phrase begins and ends, key and phrase hash."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
@@ -94,7 +102,8 @@ class Parse:
             row = last
         join = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
         self.row, self.first, self.last = join(0, np.int64), join(1, np.int64), join(2, np.int64)
-        self.key, self.phrase = join(3, np.uint64), join(4, np.uint64)
+        self.left, self.right = join(3, np.int64), join(4, np.int64)
+        self.key, self.phrase = join(5, np.uint64), join(6, np.uint64)
 
     def _run(self, row: int, last: int) -> list:
         """Strings are named by their place in the batch's bytes."""
@@ -146,23 +155,7 @@ class Parse:
         right = np.minimum(trigger + begin + LENGTH, self.offsets[rows + 1])
         phrase = roll(left - lo, right - lo)
         phrase = mixed(phrase + (trigger + begin - left).astype(np.uint64) * np.uint64(BASE) + (right - left).astype(np.uint64))
-        return [(rows, first + begin, final + begin, keys[trigger], phrase)]
-
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all strings of the triggers ``which``."""
-        count = self.last[which] - self.first[which] + 1
-        place = np.repeat(self.first[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        out = np.empty(len(place), np.uint64)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        at = 0
-        while at < len(place):
-            upto = int(np.searchsorted(place, place[at] + PIECE, "left"))
-            lo, hi = int(place[at]), int(place[upto - 1]) + LENGTH
-            roll = Rolling(self.data[lo:hi])
-            out[at:upto] = mixed(roll(place[at:upto] - lo, place[at:upto] - lo + LENGTH))
-            at = upto
-        return place, out
+        return [(rows, first + begin, final + begin, left, right, keys[trigger], phrase)]
 
 
 def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +169,14 @@ def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def by_share(shares: np.ndarray):
+    """(share, positions) of each share, positions in rising order."""
+    order = np.argsort(shares, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(shares[order]) != 0]) if len(order) else []
+    for a, b in zip(starts, np.append(starts[1:], len(order)).astype(int) if len(order) else [], strict=True):
+        yield int(shares[order[a]]), order[a:b]
+
+
 class Batch:
     """One batch: what it sends at each step depends on its texts alone, so it is computed anew where needed."""
 
@@ -184,76 +185,143 @@ class Batch:
         self.parse = Parse(*byte_view(group.column("text")))
         self.shares = np.uint64(shares)
         p = self.parse
-        doc = self.ids[p.row] if len(p.row) else np.zeros(0, np.int64)
-        self.doc = doc
-        # By trigger, then phrase, then document.
-        order, heads = _first_of([doc, p.phrase, p.key])
-        self.order, self.heads = order, heads
-        key, phrase = p.key[order][heads], p.phrase[order][heads]
+        self.doc = self.ids[p.row] if len(p.row) else np.zeros(0, np.int64)
+        # By trigger, then phrase, then document. A head is the first of a phrase, an entry the first of a trigger.
+        order, heads = _first_of([self.doc, p.phrase, p.key])
+        self.sample = order[heads]
+        self.head_of = np.empty(len(order), np.int64)
+        self.head_of[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+        self.head_least = self.doc[self.sample]
+        key = p.key[self.sample]
         new = np.ones(len(heads), bool)
         new[1:] = key[1:] != key[:-1]
-        self.entry = np.flatnonzero(new)  # of a trigger, into heads
-        single = np.append(self.entry[1:], len(heads)) - self.entry == 1
-        self.key = key[self.entry]
-        self.several = ~single
-        self.phrase = np.where(single, phrase[self.entry], np.uint64(0))
-        self.least = np.where(single, doc[order][heads][self.entry] if len(heads) else doc, NONE)
+        entry = np.flatnonzero(new)
+        self.count = np.diff(np.append(entry, len(heads)))
+        self.entry_of = np.repeat(np.arange(len(entry)), self.count)
+        self.key = key[entry]
+        single = self.count == 1
+        self.phrase = np.where(single, p.phrase[self.sample[entry]], np.uint64(0))
+        self.least = np.where(single, self.head_least[entry], NONE)
 
     def sent(self):
-        share = (self.key % self.shares).astype(np.int64)
-        for s in np.unique(share):
-            which = np.flatnonzero(share == s)
-            yield int(s), pack(self.key[which], self.phrase[which], self.least[which], self.several[which])
+        for s, which in by_share((self.key % self.shares).astype(np.int64)):
+            yield s, pack(self.key[which], self.phrase[which], self.least[which], self.count[which])
 
     def answered(self, answers: dict[int, bytes]) -> None:
-        """Takes the dictionary's answers: marks strings that go, and finds those still to be compared."""
-        gone = np.zeros(len(self.key), bool)
-        listed = self.several.copy()
-        share = (self.key % self.shares).astype(np.int64)
-        for s, payload in answers.items():
-            which = np.flatnonzero(share == s)
-            held, more = unpack(payload)
-            gone[which] = held
-            listed[which] |= more
-        # Of a single phrase, all but the smallest document's go within the batch as well.
-        p, order = self.parse, self.order
-        entry_of = np.repeat(np.arange(len(self.entry)), np.diff(np.append(self.heads[self.entry], len(order)) if len(self.entry) else [0]))
-        trig_entry = np.empty(len(order), np.int64)
-        trig_entry[order] = entry_of
-        self.goes = gone[trig_entry] | (~self.several[trig_entry] & (self.doc > self.least[trig_entry]))
-        ask = np.flatnonzero(listed[trig_entry] & ~self.goes)
-        place, hashed = p.strings(ask)
-        rows = np.searchsorted(p.offsets, place, "right") - 1
-        doc = self.ids[rows] if len(rows) else np.zeros(0, np.int64)
-        order, heads = _first_of([doc, hashed])
-        self.s_place, self.s_doc = place, doc
-        self.s_entry = np.empty(len(order), np.int64)
-        self.s_entry[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        self.s_hash, self.s_least = hashed[order][heads], doc[order][heads]
-
-    def strings_sent(self):
-        share = (self.s_hash % self.shares).astype(np.int64)
-        for s in np.unique(share):
-            which = np.flatnonzero(share == s)
-            yield int(s), pack(self.s_hash[which], self.s_least[which])
+        """Takes the dictionary's answers: which phrases go wholly, and which are sent as bytes."""
+        gone, more, hot = np.zeros(len(self.key), bool), self.count > 1, np.zeros(len(self.key), bool)
+        for s, which in by_share((self.key % self.shares).astype(np.int64)):
+            if s in answers:
+                held, listed, many = unpack(answers[s])
+                gone[which] = held
+                more[which] |= listed
+                hot[which] = many
+        self.gone = gone[self.entry_of]
+        p = self.parse
+        plain = np.flatnonzero((more & ~gone & ~hot)[self.entry_of])
+        at = self.sample[plain]
+        self.r_head, self.r_shift = plain, np.zeros(len(plain), np.int64)
+        self.r_left, self.r_size, self.r_key = p.left[at], p.right[at] - p.left[at], p.key[at]
+        spread = np.flatnonzero((more & ~gone & hot)[self.entry_of])
+        if len(spread):
+            at = self.sample[spread]
+            n = p.right[at] - p.left[at] - LENGTH + 1
+            shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            left = np.repeat(p.left[at], n) + shift
+            self.r_head, self.r_shift = np.append(self.r_head, np.repeat(spread, n)), np.append(self.r_shift, shift)
+            self.r_left, self.r_size = np.append(self.r_left, left), np.append(self.r_size, np.full(len(left), LENGTH))
+            self.r_key = np.append(self.r_key, self._hashes(left))
+
+    def _hashes(self, left: np.ndarray) -> np.ndarray:
+        """Hashes of the strings that begin at ``left``."""
+        out = np.empty(len(left), np.uint64)
+        order = np.argsort(left, kind="stable")
+        at = 0
+        while at < len(order):
+            upto = int(np.searchsorted(left[order], left[order[at]] + PIECE, "left"))
+            some = left[order[at:upto]]
+            lo = int(some[0])
+            roll = Rolling(self.parse.data[lo : int(some[-1]) + LENGTH])
+            out[order[at:upto]] = mixed(roll(some - lo, some - lo + LENGTH))
+            at = upto
+        return out
+
+    def phrases_sent(self):
+        """By share the phrases as bytes, with the smallest document of each."""
+        data = self.parse.data
+        for s, which in by_share((self.r_key % self.shares).astype(np.int64)):
+            size = self.r_size[which]
+            place = np.repeat(self.r_left[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            yield s, pack(self.r_key[which], self.head_least[self.r_head[which]], size), data[place].tobytes()
 
     def marks(self, answers: dict[int, bytes]) -> np.ndarray:
         """For each byte of the batch whether it goes."""
-        gone = np.zeros(len(self.s_hash), bool)
-        share = (self.s_hash % self.shares).astype(np.int64)
-        for s, payload in answers.items():
-            (held,) = unpack(payload)
-            gone[np.flatnonzero(share == s)] = held
         p = self.parse
+        mask = np.zeros(len(self.sample), np.uint64)
+        for s, which in by_share((self.r_key % self.shares).astype(np.int64)):
+            if s in answers:
+                (bits,) = unpack(answers[s])
+                np.bitwise_or.at(mask, self.r_head[which], bits << self.r_shift[which].astype(np.uint64))
         edge = np.zeros(len(p.data) + 1, np.int32)
-        np.add.at(edge, p.first[self.goes], 1)
-        np.add.at(edge, p.last[self.goes] + LENGTH, -1)
-        place = self.s_place[gone[self.s_entry] | (self.s_doc > self.s_least[self.s_entry])] if len(self.s_place) else self.s_place
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + LENGTH, -1)
+        whole = self.gone[self.head_of] | (self.doc > self.head_least[self.head_of])
+        np.add.at(edge, p.first[whole], 1)
+        np.add.at(edge, p.last[whole] + LENGTH, -1)
+        rest = np.flatnonzero(~whole & (mask[self.head_of] > 0))
+        bits, left, first, last = mask[self.head_of[rest]], p.left[rest], p.first[rest], p.last[rest]
+        for b in range(STRINGS):
+            place = left + b
+            place = place[(bits >> np.uint64(b) & np.uint64(1) > 0) & (place >= first) & (place <= last)]
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + LENGTH, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """The rank of each suffix by its first ``LENGTH`` bytes; what lies beyond the end counts as zero bytes.
+
+    Words of 8 bytes are ranked, then pairs of ranks, so equal ranks mean equal bytes.
+    """
+    ranks = np.concatenate([data, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
+    for span in (1, 2, 4):
+        ranks = (ranks[: len(ranks) - span] << np.uint64(8 * span)) | ranks[span:]
+    span = 8
+    _, ranks = np.unique(ranks, return_inverse=True)
+    while True:
+        step = min(span, LENGTH - span)
+        pairs = (ranks[: len(ranks) - step].astype(np.uint64) << np.uint64(32)) | ranks[step:].astype(np.uint64)
+        _, ranks = np.unique(pairs, return_inverse=True)
+        span += step
+        if span == LENGTH:
+            return ranks[: len(data)]
+
+
+def string_masks(data: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each phrase a mask of its strings: those that a document smaller than the phrase's own holds."""
+    starts = np.cumsum(sizes) - sizes
+    # Equal phrases are ranked once.
+    rows = np.zeros((len(sizes), 2 * LENGTH), np.uint8)
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    rows[at, np.arange(len(data)) - starts[at]] = data
+    rows[:, -1] = sizes
+    _, sample, which = np.unique(rows.view(f"S{2 * LENGTH}").ravel(), return_index=True, return_inverse=True)
+    low = np.full(len(sample), NONE)
+    np.minimum.at(low, which, least)
+    size = sizes[sample]
+    place = np.repeat(starts[sample] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    ranks = suffix_ranks(data[place])
+    begin, out = np.cumsum(size) - size, np.zeros(len(sizes), np.uint64)
+    smallest = np.full(int(ranks.max(initial=-1)) + 1, NONE)
+    for b in range(STRINGS):
+        held = np.flatnonzero(size >= LENGTH + b)
+        np.minimum.at(smallest, ranks[begin[held] + b], low[held])
+    for b in range(STRINGS):
+        held = np.flatnonzero(size >= LENGTH + b)
+        own = np.full(len(sample), NONE)
+        own[held] = smallest[ranks[begin[held] + b]]
+        out |= (own[which] < least).astype(np.uint64) << np.uint64(b)
+    return out
+
+
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of numbers place by place: in a sorted list the high places hardly change, so they compress."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -322,45 +390,60 @@ def _answers(step: int, share: int, batches: list[int], origin: np.ndarray, *col
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["batch", "step", "share", "payload"])
 
 
-def _dictionary(group: pa.Table) -> pa.Table:
+def _dictionary(group: pa.Table, hot: int) -> pa.Table:
     """Merges the batches' triggers of one share."""
-    batches, origin, (key, phrase, least, several) = _joined(group, [np.uint64, np.uint64, np.int64, bool])
+    batches, origin, (key, phrase, least, count) = _joined(group, [np.uint64, np.uint64, np.int64, np.int64])
     order, heads = _first_of([least, phrase, key])
     run = np.empty(len(order), np.int64)
     run[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
     smallest = least[order][heads]
-    # Of a trigger: several phrases in all, or several in some batch.
+    # Of a trigger: the distinct phrases that came alone, and those of batches with several, which may be equal.
     _, of_key = np.unique(key, return_inverse=True)
-    phrases = np.bincount(of_key[order[heads]], minlength=of_key.max(initial=-1) + 1)
-    many = phrases > 1
-    many |= np.bincount(of_key, weights=several, minlength=len(many)) > 0
-    held = ~several & (smallest[run] < least)
-    return _answers(1, group.column("share")[0].as_py(), batches, origin, held, many[of_key] & ~several & ~held)
-
-
-def _order(group: pa.Table) -> pa.Table:
-    """Merges the batches' strings of one share."""
-    batches, origin, (hashed, least) = _joined(group, [np.uint64, np.int64])
-    order, heads = _first_of([least, hashed])
-    run = np.empty(len(order), np.int64)
-    run[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-    return _answers(2, group.column("share")[0].as_py(), batches, origin, least[order][heads][run] < least)
-
-
-SENT = "share int, batch int, payload binary"
-SENT_ARROW = pa.schema([("share", pa.int32()), ("batch", pa.int32()), ("payload", pa.binary())])
+    n = of_key.max(initial=-1) + 1
+    alone = np.bincount(of_key[order[heads]], weights=count[order[heads]] == 1, minlength=n)
+    several = np.bincount(of_key, weights=np.where(count > 1, count, 0), minlength=n)
+    held = (count == 1) & (smallest[run] < least)
+    many = (alone + several > 1)[of_key] & ~held
+    return _answers(1, group.column("share")[0].as_py(), batches, origin, held, many, (alone + several > hot)[of_key] & many)
+
+
+def _ranked(group: pa.Table) -> pa.Table:
+    """Ranks the suffixes of one share's phrases, some triggers at a time."""
+    batches, origin, (key, least, size) = _joined(group, [np.uint64, np.int64, np.int64])
+    blob = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("blob")])
+    begin = np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    upto = np.cumsum(size[order])
+    masks, a = np.zeros(len(key), np.uint64), 0
+    ends = np.append(new[1:], len(order))
+    while a < len(order):
+        # Whole triggers up to the limit, at least one.
+        reach = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RANKED, "right"))
+        b = int(ends[max(np.searchsorted(ends, reach, "right") - 1, np.searchsorted(ends, a, "right"))])
+        some = order[a:b]
+        n = size[some]
+        place = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        masks[some] = string_masks(blob[place], n, least[some])
+        a = b
+    return _answers(2, group.column("share")[0].as_py(), batches, origin, masks)
+
+
+SENT = "share int, batch int, payload binary, blob binary"
+SENT_ARROW = pa.schema([("share", pa.int32()), ("batch", pa.int32()), ("payload", pa.binary()), ("blob", pa.binary())])
 
 
 def _rows(batch: int, sent) -> pa.Table:
-    rows = list(sent)
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=SENT_ARROW)
+    rows = [(s, batch, payload, blob[0] if blob else None) for s, payload, *blob in sent]
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, kind) for c, kind in zip(columns, SENT_ARROW.types, strict=True)], schema=SENT_ARROW)
 
 
 def _by_step(answers: pa.Table, step: int) -> dict[int, bytes]:
     return {s: p for t, s, p in zip(*(answers.column(x).to_pylist() for x in ("step", "share", "payload")), strict=True) if t == step}
 
 
-def repeated_passages(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_passages(docs: DataFrame, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """doc_id, the columns ``carry``, n_bytes, spans (begin, end of what goes), kept (the bytes left)."""
     taken = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     size = text_bytes(taken)
@@ -371,12 +454,12 @@ def repeated_passages(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     def send(group: pa.Table) -> pa.Table:
         return _rows(group.column("batch")[0].as_py(), Batch(group, shares).sent())
 
-    def list_strings(group: pa.Table, answers: pa.Table) -> pa.Table:
+    def list_phrases(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return SENT_ARROW.empty_table()
         one = Batch(group, shares)
         one.answered(_by_step(answers, 1))
-        return _rows(group.column("batch")[0].as_py(), one.strings_sent())
+        return _rows(group.column("batch")[0].as_py(), one.phrases_sent())
 
     carried = [docs.schema[c] for c in carry]
     out = "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
@@ -401,9 +484,9 @@ def repeated_passages(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
             names=["doc_id", "n_bytes", "spans", "kept", *carry],
         )
 
-    first = dealt.groupBy("batch").applyInArrow(send, SENT).groupBy("share").applyInArrow(_dictionary, ANSWERS)
+    first = dealt.groupBy("batch").applyInArrow(send, SENT).groupBy("share").applyInArrow(lambda g: _dictionary(g, hot), ANSWERS)
     second = (
-        dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(list_strings, SENT).groupBy("share").applyInArrow(_order, ANSWERS)
+        dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(list_phrases, SENT).groupBy("share").applyInArrow(_ranked, ANSWERS)
     )
     done = dealt.groupBy("batch").cogroup(first.unionAll(second).groupBy("batch")).applyInArrow(lambda g, a: cut(g, a) if g.num_rows else _cut(g, *byte_view(g.column("text")), np.zeros(0, bool)), schema)
     unnamed = taken.where("doc_id is null").select(

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from fieldlens.llm import prefixes, scans, simhash, whitening
+from fieldlens.llm import prefixes, repeats, scans, simhash, whitening
 
 TURN = "conv_id long, turn long, role string, text string, n_convs string, at int, digest string, k int, slice string"
 
@@ -242,3 +242,46 @@ def test_plane_products_are_exact(top):
     for j in range(7):
         for k in range(7):
             assert got[j, k] == sum(r[j] * r[k] for r in full)
+
+
+def test_suffix_ranks_are_those_of_the_bytes():
+    rng = np.random.default_rng(2)
+    for data in (rng.integers(0, 2, 700), np.zeros(300), np.tile(rng.integers(0, 256, 60), 8), rng.integers(0, 256, 49)):
+        data = data.astype(np.uint8)
+        padded = data.tobytes() + bytes(repeats.LENGTH)
+        prefixes = [padded[i : i + repeats.LENGTH] for i in range(len(data))]
+        place = {p: r for r, p in enumerate(sorted(set(prefixes)))}
+        ranks = repeats.suffix_ranks(data)
+        same = defaultdict(set)
+        for p, r in zip(prefixes, ranks.tolist(), strict=True):
+            same[r].add(p)
+        assert all(len(x) == 1 for x in same.values()) and len(same) == len(place)
+
+
+def removed_by_hand(rows):
+    """The bytes left of each row."""
+    first = {}
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    for d, t in raw:
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(d, first.get(t[i : i + 50], d))
+    out = []
+    for d, t in raw:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"x" * 50
+        out.append((d, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1 << 14])
+def test_passages_of_hot_triggers_and_equal_ids(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "BATCH", 4000)
+    monkeypatch.setattr(repeats, "SHARE", 3000)
+    rng = random.Random(hot)
+    common = "a passage that many documents hold, with other words on both of its sides "
+    rows = [(i % 37, "".join(rng.choice([common, common[:60], "  " * 30, f"{rng.random()} ", "é\n" * 20, "\x00" * 55]) for _ in range(6))) for i in range(80)]
+    rows += [(90, rows[3][1]), (90, rows[3][1]), (91, None), (92, ""), (93, common * 200)]
+    got = sorted((r.doc_id, bytes(r.kept)) for r in repeats.repeated_passages(documents(*rows), hot=hot).collect())
+    assert got == removed_by_hand(rows)
