@@ -13,8 +13,7 @@ class Boosted:
         self.forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        quantiles = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.edges = [np.unique(np.quantile(x[:, f], quantiles)) for f in range(x.shape[1])]
+        self.edges = [self._edges(x[:, f]) for f in range(x.shape[1])]
         binned = self._binned(x)
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start = float(np.log(share / (1 - share)))
@@ -26,6 +25,13 @@ class Boosted:
             score += self._leaf(tree, binned)
         return self
 
+    def _edges(self, values: np.ndarray) -> np.ndarray:
+        """Quantiles, or what lies between the values if they are few, so that rare ones are told apart."""
+        own = np.unique(values)
+        if len(own) <= self.bins:
+            return (own[1:] + own[:-1]) / 2
+        return np.unique(np.quantile(values, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)], 1).astype(np.int64)
 

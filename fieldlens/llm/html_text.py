@@ -4,22 +4,29 @@ Every element that holds text has features: the density of text, links and tags
 and role, its depth, and how it stands among its siblings. The classifier says how likely it holds main text. Decoding maximises the
 likelihood of all choices under one condition: what lies in a dropped element is dropped. A kept element may hold dropped ones.
 
-The classifier learns from at most ``SAMPLE`` pages that mark their article or main element. Each is learnt as it
+The words of tags and attributes are features in two forms: each word's hash in ``TOKENS`` columns, own and next above, and how many lean for
+or against main text by two lists.
+
+The classifier learns from at most ``SAMPLE`` pages of at most ``SAMPLE_BYTES`` that mark their article or main element, those of least hash. Each is learnt as it
 is, and ``VARIANTS`` times with its blocks put into other page layouts (other containers, class names, side bars, notices, forms
-and comments made of other pages' sentences), as one site's marks don't tell about others. The sample is a bounded number of rows; every
-page is extracted from its whole html.
+and comments made of other pages' sentences), as one site's marks don't tell about others. The sample is a bounded number of rows, and only these
+pages move; every page is extracted from its whole html.
+
+Tags are read in one pass: open elements are counted by name, so a close tag without an open one costs nothing, and siblings are measured once per parent.
 
 Defined cases: null or blank html, or html without text, gives an empty text; unclosed, wrongly nested and unknown tags are
 taken as they come; pages are independent of each other, so repeated rows give repeated results; a table without a marked page learns from
-the variants of its paragraphs; other columns are ignored.
+variants of its pages' blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,9 @@ from pyspark.sql import functions as F
 from .boosting import Boosted
 from .common import table
 
-SAMPLE, VARIANTS, SEED = 200, 4, 5
+SAMPLE, SAMPLE_BYTES, VARIANTS, SEED = 200, 1 << 20, 4, 5
+#: Columns that words of tags and attributes are hashed to.
+TOKENS = 16
 #: Pages whose nodes are classified together.
 TOGETHER = 256
 
@@ -51,6 +60,8 @@ AGAINST = frozenset(
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A slash that closes the tag; one at the end of an unquoted value doesn't.
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLANK = re.compile(r"\s+")
 STOPS = re.compile(r"[.,;:!?]")
@@ -70,8 +81,23 @@ def tree(text: str) -> tuple[Node, list[Node]]:
     """The elements of a page in order, as a tree of elements and strings; contents that never show are left out."""
     root = Node("root", (), None)
     nodes, now, at = [root], root, 0
+    open_names: collections.Counter[str] = collections.Counter()
+    last = text.rfind(">")
+
+    def up_to(node: Node) -> Node:
+        """Closes what is open down to ``node`` and ``node`` itself."""
+        one = now
+        while one is not node:
+            open_names[one.tag] -= 1
+            one = one.parent
+        open_names[node.tag] -= 1
+        return node.parent
+
     while True:
-        found = TAG.search(text, at)
+        # No tag ends behind the last bracket.
+        found = TAG.search(text, at, last + 1) if at <= last else None
+        if found is None and (comment := text.find("<!--", at)) >= 0:
+            found = TAG.match(text, comment)
         if (found.start() if found else len(text)) > at:
             now.items.append(text[at : found.start() if found else len(text)])
         if not found:
@@ -82,24 +108,24 @@ def tree(text: str) -> tuple[Node, list[Node]]:
             continue
         name = name.lower()
         if close:
-            open_ = now
-            while open_ is not root and open_.tag != name:
-                open_ = open_.parent
-            if open_ is not root:
-                now = open_.parent
+            if open_names[name] > 0:
+                open_ = now
+                while open_.tag != name:
+                    open_ = open_.parent
+                now = up_to(open_)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and open_names["p"] > 0:
             open_ = now
             while open_.tag in INLINE:
                 open_ = open_.parent
             if open_.tag == "p":
-                now = open_.parent
-        if name in SAME:
+                now = up_to(open_)
+        if name in SAME and any(open_names[x] > 0 for x in SAME[name]):
             open_ = now
-            while open_ is not root and open_.tag not in SAME[name] and open_.tag not in HOLDS[name]:
+            while open_.tag not in SAME[name] and open_.tag not in HOLDS[name]:
                 open_ = open_.parent
             if open_.tag in SAME[name]:
-                now = open_.parent
+                now = up_to(open_)
         words = tuple(w.lower() for m in ATTRIBUTE.findall(attributes) for w in PART.findall("".join(m))) if "=" in attributes else ()
         node = Node(name, words, now)
         now.items.append(node)
@@ -107,8 +133,9 @@ def tree(text: str) -> tuple[Node, list[Node]]:
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(text, at)
             at = end.end() if end else len(text)
-        elif name not in VOID and not attributes.endswith("/"):
+        elif name not in VOID and not CLOSED.search(attributes):
             now = node
+            open_names[name] += 1
 
 
 def shown(text: str) -> str:
@@ -152,24 +179,31 @@ def features(nodes: list[Node]) -> tuple[list[Node], list[list[float]]]:
     _measure(nodes)
     used, rows, leaning = [], [], {}
     page = max(1, nodes[0].size)
+    # Of each element: how many siblings it has, its place among them, and how many are of its tag.
+    kin: dict[int, tuple[int, int, int]] = {id(nodes[0]): (1, 0, 1)}
+    for n in nodes:
+        own = [x for x in n.items if x.__class__ is Node]
+        alike = collections.Counter(x.tag for x in own)
+        kin.update((id(x), (len(own), i, alike[x.tag])) for i, x in enumerate(own))
+    tokens: dict[int, list[int]] = {}
     for n in nodes:
         good, bad = _leaning(n)
         up_good, up_bad = leaning.get(id(n.parent), (0, 0))
         leaning[id(n)] = (up_good + good, up_bad + bad)
+        own = [0] * TOKENS
+        for w in (n.tag, *n.words):
+            own[zlib.crc32(w.encode()) % TOKENS] = 1
+        tokens[id(n)] = own
         if not n.size:
             continue
-        if n.parent is not None:
-            kin = [x for x in n.parent.items if x.__class__ is Node]
-            place = next(i for i, x in enumerate(kin) if x is n) if len(kin) < 200 else 100
-            alike = sum(x.tag == n.tag for x in kin[:200])
-            whole = max(1, n.parent.size)
-        else:
-            kin, place, alike, whole = [n], 0, 1, n.size
+        whole = max(1, n.parent.size) if n.parent is not None else n.size
+        siblings, place, alike = kin[id(n)]
         n.at = len(used)
         used.append(n)
         rows.append([
             n.depth, math.log1p(n.size), math.log1p(n.own), n.linked / n.size, n.tags / n.size, n.stops / n.size, good, bad, min(up_good, 3), min(up_bad, 3),
-            len(kin), place / len(kin), alike / max(1, min(len(kin), 200)), n.size / whole, n.size / page, n.controls, n.tag in INLINE, n.tag in CLOSES_P, n.tag[0] == "h" and n.tag[1:].isdigit(),
+            siblings, place / siblings, alike / siblings, n.size / whole, n.size / page, n.controls, n.tag in INLINE, n.tag in CLOSES_P, n.tag[0] == "h" and n.tag[1:].isdigit(),
+            *own, *(tokens[id(n.parent)] if n.parent is not None else [0] * TOKENS),
         ])
     return used, rows
 
@@ -314,8 +348,14 @@ def _labelled(text: str, marked: bool) -> tuple[list[list[float]], list[int]]:
 
 
 def learn(pages: DataFrame) -> Boosted:
-    """Fits the trees to a sample of at most ``SAMPLE`` pages, chosen by a hash of their html."""
-    texts = [r[0] for r in pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).select("html").collect()]
+    """Fits the trees to a sample of at most ``SAMPLE`` pages, chosen by a hash of their html; the hashes are chosen first, then those pages fetched."""
+    hashed = pages.select("html", F.xxhash64("html").alias("h")).where(F.octet_length("html") <= SAMPLE_BYTES)
+    marks = hashed.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+    for some in (marks, hashed):
+        chosen = [r[0] for r in some.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+        if chosen:
+            break
+    texts = [r[1] for r in sorted(hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect())] if chosen else []
     rng = random.Random(SEED)
     parts = [(t, *_texts(tree(t)[1])) for t in texts]
     pool = [x for _, main, rest in parts for x in (main or rest)] or ["A sentence of main text, as good as any other, which ends here."]

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from fieldlens.llm import prefixes, repeats, scans, simhash, whitening
+from fieldlens.llm import bpe, html_text, langid, minhash, prefixes, repeats, rollups, scans, simhash, whitening
 
 TURN = "conv_id long, turn long, role string, text string, n_convs string, at int, digest string, k int, slice string"
 
@@ -285,3 +285,135 @@ def test_passages_of_hot_triggers_and_equal_ids(spark, documents, monkeypatch, h
     rows += [(90, rows[3][1]), (90, rows[3][1]), (91, None), (92, ""), (93, common * 200)]
     got = sorted((r.doc_id, bytes(r.kept)) for r in repeats.repeated_passages(documents(*rows), hot=hot).collect())
     assert got == removed_by_hand(rows)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = {
+        "wide": "<div>" + "<p>x</p>" * 20000 + "</div>", "closing": "<div>" * 8000 + "</b>" * 20000 + "end", "quotes": '<a "' * 20000, "items": "<ul>" + "<li>x" * 20000,
+        "comments": "<!--" * 20000, "nested": "<div>" * 5000 + "<li>" * 5000 + "deep",
+    }
+    began = time.perf_counter()
+    for page in pages.values():
+        root, nodes = html_text.tree(page)
+        html_text.features(nodes)
+        html_text.rendered(root, set(range(len(nodes))))
+    assert time.perf_counter() - began < 20
+
+
+def test_an_address_that_ends_in_a_slash_does_not_close_its_link():
+    root, _ = html_text.tree("<p>a <a href=http://e.org/>text</a> b <br/> c <img src='x'/> d")
+    (p,) = root.items
+    link = p.items[1]
+    assert (link.tag, link.items) == ("a", ["text"]) and [x.tag for x in p.items if x.__class__ is not str] == ["a", "br", "img"]
+
+
+def test_pages_with_clashing_columns_and_empty_tables(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>" + "Some words, and more of them. " * 20 + "</p></article></body></html>"
+    frame = spark.createDataFrame([(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (2, None, None, "x", "y"), (None, "v", "", "x", "y")], "page_id long, url string, html string, text string, h string")
+    got = html_text.extract(frame).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got)[:2] == [(0, ""), (1, got[0].text if got[0].page_id == 1 else got[1].text)]
+    assert [r.text for r in got if r.page_id == 1] == ["Title\n" + ("Some words, and more of them. " * 20).strip()] * 2
+    assert html_text.extract(frame.limit(0)).count() == 0
+
+
+def test_signs_are_no_letters(spark, documents):
+    rows = [(i, "the river and the house over the hill " * 9, "en", "a.org") for i in range(30)] + [(i, "der Fluss und das Haus über dem Hügel ist groß " * 9, "de", "b.de") for i in range(30, 60)]
+    signs = [(100, "— … “ ” • → ¡ « 123 !"), (101, None), (102, "日本語"), (103, "")]
+    got = {r.id: (r.language, r.kept) for r in langid.language_of_documents(documents(*rows, *((i, t, "en", "a.org") for i, t in signs))).collect()}
+    assert got[100] == got[101] == got[103] == ("und", False) and got[102][0] != "und"
+    assert got[0] == ("en", True) and got[40] == ("de", True)
+    kept = langid.kept_documents(documents(*rows, (7, "— …", "en", "a.org"), (8, "the house over the hill", None, None), (8, "", "en", "a.org")))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(60), 8])
+
+
+def test_a_lost_commit_is_never_read(spark, tmp_path, monkeypatch):
+    kind = "doc_id long, op string, source string, lang string, n_tokens long, batch string, docs long"
+    change = lambda *rows: spark.createDataFrame([(d, o, s, "en", n, "x", 9) for d, o, s, n in rows], kind)
+    for lost_at in (1, 2, 3):
+        ledger = rollups.Ledger(spark, str(tmp_path / str(lost_at)))
+        assert ledger.commit("1", "t", change((1, "insert", "s", 5), (2, "insert", "s", 7), (3, "insert", None, 1)))
+        put, calls = rollups.Ledger._put, []
+
+        def fails(self, name, rows, batch, attempt, put=put, calls=calls, lost_at=lost_at):
+            calls.append(name)
+            if len(calls) == lost_at:
+                raise OSError("lost")
+            put(self, name, rows, batch, attempt)
+
+        revised = change((1, "revise", "s", 6), (2, "delete", None, 0), (9, "delete", "s", 0))
+        monkeypatch.setattr(rollups.Ledger, "_put", fails)
+        with pytest.raises(OSError, match="lost"):
+            ledger.commit("2", "t", revised)
+        monkeypatch.setattr(rollups.Ledger, "_put", put)
+        assert {(r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()} == {("s", 2, 12), (None, 1, 1)}
+        # Another batch says the same before the lost one is sent again.
+        assert ledger.commit("3", "t", revised) and ledger.commit("2", "t", revised) and not ledger.commit("2", "t", revised)
+        assert {(r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()} == {("s", 1, 6), (None, 1, 1)}
+        assert ledger.commit("4", "t", change((2, "insert", "u", 3), (2, "insert", "u", 4), (2, "insert", "u", 4)))
+        assert {(r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()} == {("s", 1, 6), (None, 1, 1), ("u", 1, 4)}
+
+
+def test_token_counts_are_those_of_the_tokenizer(spark, documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path("byte_bpe_50k.json")
+    known = Tokenizer.from_file(path)
+    rows = [(1, "some words here", "en", "a"), (2, "Über \n\n  Häuser", "de", None), (None, "no id", "en", "a"), (4, None, None, "a"), (5, "more words, twice", "en", "a")]
+    documents(*rows).write.parquet(str(tmp_path / "documents.parquet"))
+    totals = defaultdict(lambda: [0, 0])
+    for _, text, lang, source in rows:
+        n = len(known.encode(text or "", add_special_tokens=False).ids)
+        totals[source, lang][0] += 1
+        totals[source, lang][1] += n
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollups.op2_token_counts(spark, str(tmp_path)).collect()}
+    assert got == totals
+
+
+def test_one_of_equal_rows_stays_and_unlike_rows_of_a_document_stay(spark, documents):
+    rows = [(1, "a b c d e f"), (1, "totally other words than these ones"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, ""), (4, "a b c d e f")]
+    kept = minhash.kept_documents(documents(*rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, "a b c d e f"), (1, "totally other words than these ones"), (3, "")]
+    assert minhash.kept_documents(documents().limit(0)).count() == 0
+
+
+def test_blocks_of_sets_find_what_brute_force_finds():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        one = base.copy()
+        k = rng.integers(0, 60)
+        one[rng.choice(200, k, replace=False)] = rng.integers(1, 1 << 62, k).astype(np.uint64)
+        sets.append(np.unique(one))
+    a, b = np.arange(50), np.arange(50, 120)
+    common = minhash._common(sets, a, b)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[50 + j])) for i in range(50) for j in range(70))
+    made = [minhash._sketch(x) for x in sets]
+    group = pa.table({
+        "rep": np.arange(120), "component": np.arange(120), "n": [len(x) for x in sets], "samples": pa.array([k for k, _ in made], pa.int32()),
+        "sketch": pa.array([s for _, s in made], pa.binary()), "items": pa.array([x.tobytes() for x in sets], pa.binary()), "block": [0] * 60 + [1] * 60, "i": [0] * 120, "j": [1] * 120,
+    })
+    got = minhash._linked(80)(group).to_pylist()
+    linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    label = list(range(120))
+
+    def top(x, of):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for r in got:
+        assert linked(r["a"], r["b"])
+        x, y = top(r["a"], label), top(r["b"], label)
+        label[max(x, y)] = min(x, y)
+    full = list(range(120))
+    for i in range(60):
+        for j in range(60, 120):
+            if linked(i, j):
+                x, y = top(i, full), top(j, full)
+                full[max(x, y)] = min(x, y)
+    assert [top(x, label) for x in range(120)] == [top(x, full) for x in range(120)] and len(got) < 120
