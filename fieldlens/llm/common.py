@@ -44,6 +44,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+#: Ids that are broadcast at most, some 32 MB; more are joined by shuffling both sides.
+FEW_IDS = 1 << 20
+
+
+def small_enough(ids: DataFrame) -> DataFrame:
+    """Distinct ids, stored, marked for broadcast if their counted number allows it."""
+    ids = stored(ids.distinct())
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

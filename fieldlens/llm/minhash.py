@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, mixed, odd_numbers, stored, slices, table
+from .common import byte_view, mixed, odd_numbers, slices, small_enough, stored, table
 from .components import components
 from .words import shingle_sets
 
@@ -161,8 +161,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
     wanted = dealt.select("a", "chunk", F.lit(1).alias("kind"), F.col("b").alias("id")).unionAll(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("kind"), F.col("a").alias("id"))
     )
-    # Where few texts are wanted the planner sees it, and the other texts stay where they are.
-    rows = stored(wanted).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    wanted = stored(wanted)
+    # Texts that are not wanted stay where they are.
+    rows = wanted.join(docs.select(F.col("doc_id").alias("id"), "text").join(small_enough(wanted.select("id")), "id", "left_semi"), "id")
     laid = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind")
 
     def run(batches):
@@ -190,7 +191,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted`` (rep and what goes with it) with the full set of the document, its samples and sketch."""
-    rows = wanted.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    rows = wanted.join(docs.select(F.col("doc_id").alias("rep"), "text").join(small_enough(wanted.select("rep")), "rep", "left_semi"), "rep")
     others = [c for c in wanted.columns]
     kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in others)
 
@@ -334,8 +335,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     text one stays, the first in the order of their other columns.
     """
     judged = near_duplicates(docs)
-    gone = stored(judged.where("not kept and doc_id is not null").select("doc_id").distinct())
-    again = stored(judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    gone = small_enough(judged.where("not kept and doc_id is not null").select("doc_id"))
+    again = small_enough(judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return left
