@@ -417,3 +417,58 @@ def test_blocks_of_sets_find_what_brute_force_finds():
                 x, y = top(i, full), top(j, full)
                 full[max(x, y)] = min(x, y)
     assert [top(x, label) for x in range(120)] == [top(x, full) for x in range(120)] and len(got) < 120
+
+
+def fused_by_hand(rows, labels, weights):
+    """rows: (id, text, declared, suffix, host) -> id, best language, posterior."""
+    import math
+
+    scores, says = {}, {}
+    for k, (_, text, *_) in enumerate(rows):
+        counts = langid._counts(np.frombuffer((text or "").encode(), np.uint8))
+        scores[k] = langid.TEMPER * (counts.astype(np.float32) @ weights.T) if counts.any() else None
+        says[k] = int(np.argmax(scores[k])) if counts.any() else None
+    n = len(labels)
+    tally = lambda of: {key: [sum(says[k] == i for k in range(len(rows)) if says[k] is not None and of(rows[k]) == key) for i in range(n)] for key in {of(r) for k, r in enumerate(rows) if says[k] is not None and of(r) is not None}}
+    domain = lambda r: ".".join(r[4].split(".")[-2:]) if r[4] and "." in r[4] and all(r[4].split(".")[-2:]) else ""
+    declared, suffix, domains, hosts = tally(lambda r: r[2]), tally(lambda r: r[3]), tally(domain), tally(lambda r: r[4])
+    whole = [sum(s == i for s in says.values()) for i in range(n)]
+    overall = [(c + 1) / (sum(whole) + n) for c in whole]
+    out = []
+    for k, r in enumerate(rows):
+        if scores[k] is None:
+            out.append((r[0], "und", 0.0))
+            continue
+        smooth = lambda own, up: [(c + langid.HOST_WEIGHT * u) / (sum(own) + langid.HOST_WEIGHT) for c, u in zip(own, up, strict=True)]
+        prior = smooth(domains[domain(r)], overall) if r[4] is not None and domain(r) else overall
+        prior = smooth(hosts[r[4]], prior) if r[4] is not None else prior
+        log = [float(s) + math.log(p) for s, p in zip(scores[k], prior, strict=True)]
+        for table, value in ((declared, r[2]), (suffix, r[3])):
+            if value is not None:
+                log = [x + math.log((table[value][i] + langid.SMOOTH) / (whole[i] + langid.SMOOTH * len(table))) for i, x in enumerate(log)]
+        top = max(log)
+        out.append((r[0], labels[log.index(top)], 1 / sum(math.exp(x - top) for x in log)))
+    return out
+
+
+def test_posterior_of_pages_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = {"en": "the river and house over hill with some light".split(), "de": "der fluss und das haus über dem hügel mit licht".split(), "fr": "la rivière et une maison sous le ciel avec lumière".split()}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(words))
+        text = " ".join(rng.choices(words[lang] + words[rng.choice(list(words))][:4], k=rng.choice([3, 12, 60])))
+        host = rng.choice([f"www.site.{lang}", f"news.site.{lang}", "shared.org", f"{lang}{i % 3}.blog.net"])
+        mark = rng.choice([f' lang="{lang}"', "", f" class=x lang='{lang.upper()}-XX'"])
+        rows.append((i, f"https://{host}/{i}", f"<html{mark}><head><style>p {{}}</style></head><body><p>{text}</p></body></html>"))
+    rows += [(200, "https://shared.org/", "<html lang=en><body>123 —</body></html>"), (201, None, None), (202, "nonsense", "<html><body>the house</body></html>"), (0, rows[0][1], rows[0][2])]
+    evidence = langid.evidence_of_pages(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string"))
+    plain = [tuple(r) for r in evidence.select("id", "text", "declared", "suffix", "host").collect()]
+    assert {r[2] for r in plain} == {"en", "de", "fr", None} and {r[3] for r in plain} >= {"en", "org", "net", None}
+    labels, weights = langid.learn(evidence)
+    expected = sorted(fused_by_hand(plain, labels, weights))
+    got = sorted((r.id, r.language, r.posterior) for r in langid.fused(evidence).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in expected]
+    assert np.allclose([r[2] for r in got], [r[2] for r in expected], rtol=1e-4)
+    right = sum(p[2] == g[1] for p, g in zip(sorted(plain, key=lambda r: r[0]), got, strict=True) if p[2])
+    assert right >= 0.9 * sum(p[2] is not None for p in plain)
