@@ -15,7 +15,9 @@ packed each; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,27 @@ K1, B = 1.2, 0.75
 KEPT = 1 << 18
 
 
+#: The pre-tokenizer's pattern (a fixed value of the vocabulary file) under which letters, digits and signs never join.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Small letters that are one word wherever they stand together, whatever the Unicode version: Latin ones.
+LETTERS = re.compile("[a-zÀ-ÖØ-öø-įı-ſ]+")
+#: Kinds of bytes: ASCII letters and digits, ASCII signs without the apostrophe, others.
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+KIND[[x for x in range(33, 127) if not KIND[x] and x != 39]] = 2
+#: Words given to the tokenizer as one text.
+JOINED = 256
+
+
 class Chunks:
     """Ids of texts by a tokenizer that never joins what white space parts.
 
     Texts are cut at ASCII white space as whole Arrow columns, each distinct chunk of a column is looked up once, and ids are gathered
     by place. Two generations of bounded size are kept; new chunks go to the tokenizer together.
+
+    If the vocabulary file says that texts are lower-cased and cut by the pattern ``WORDS``, chunks are smaller and fewer: ASCII letters are
+    lower-cased, and signs are parted from letters and digits. New chunks of letters are then joined to texts, as the marks of a word's end tell
+    their ids apart. Where a text may hold a special token nothing is changed.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -57,25 +75,63 @@ class Chunks:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.new, self.old = {"": b""}, {}
+        spec = json.loads(tokenizer_json)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if steps == known and cuts[0].get("pattern") == {"Regex": WORDS} and suffix and not any(x["normalized"] for x in spec["added_tokens"]):
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.special = sorted({x["content"][:2].encode() for x in spec["added_tokens"]})
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        own, alone = {}, chunks
+        if self.ends is not None:
+            words = [c for c in chunks if LETTERS.fullmatch(c)]
+            alone = [c for c in chunks if not LETTERS.fullmatch(c)]
+            groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) == len(group) and last[-1] == len(ids):
+                    raw, cut = ids.tobytes(), (4 * np.r_[0, last]).tolist()
+                    own.update((c, raw[a:b]) for c, a, b in zip(group, cut[:-1], cut[1:], strict=True))
+                else:
+                    alone += group
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        own.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, found, strict=True))
+        return own
 
     def _looked_up(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.new.get, chunks))
         lacking = [i for i, ids in enumerate(found) if ids is None]
         if lacking:
-            missing = [chunks[i] for i in lacking if chunks[i] not in self.old]
-            own = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
+            own = self._encoded([chunks[i] for i in lacking if chunks[i] not in self.old])
+            before = self.old
             if len(self.new) > KEPT:
-                self.old, self.new, before = self.new, {"": b""}, self.old
-            else:
-                before = self.old
+                self.old, self.new = self.new, {"": b""}
             for i in lacking:
                 c = chunks[i]
                 found[i] = self.new[c] = own[c] if c in own else before[c]
         return found
 
+    def _parted(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ASCII lower-cased, with a blank between signs and letters or digits of a text."""
+        kind = KIND[data]
+        cut = np.flatnonzero((kind[1:] | kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        # A cut where a text begins falls to the text before, as a blank at its end.
+        return np.insert(data, cut, np.uint8(32)), offsets + np.searchsorted(cut, offsets, "right")
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given as bytes and offsets, one after the other, and how many each text has."""
-        texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(BLANKED[data]))
+        data = BLANKED[data]
+        raw = data.tobytes() if self.ends is not None else b""
+        if self.ends is not None and not any(x in raw for x in self.special):
+            data, offsets = self._parted(data, offsets)
+        texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
         lists = pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(lists.values)
         held = self._looked_up(coded.dictionary.to_pylist())

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from fieldlens.llm import bpe, html_text, langid, minhash, prefixes, repeats, rollups, scans, simhash, whitening
+from fieldlens.llm import bpe, html_text, langid, minhash, packing, prefixes, repeats, rollups, scans, simhash, whitening
 
 TURN = "conv_id long, turn long, role string, text string, n_convs string, at int, digest string, k int, slice string"
 
@@ -472,3 +472,27 @@ def test_posterior_of_pages_equals_brute_force(spark):
     assert np.allclose([r[2] for r in got], [r[2] for r in expected], rtol=1e-4)
     right = sum(p[2] == g[1] for p, g in zip(sorted(plain, key=lambda r: r[0]), got, strict=True) if p[2])
     assert right >= 0.9 * sum(p[2] is not None for p in plain)
+
+
+def test_chunks_have_the_ids_of_whole_texts():
+    import pyarrow as pa
+    from fieldlens.llm.common import byte_view
+    from tokenizers import Tokenizer
+
+    spec = bpe.read_tokenizer(bpe.public_path("word_bpe_49k.json"))
+    known, chunks = Tokenizer.from_str(spec), packing.Chunks(spec)
+    assert chunks.ends is not None
+    rng = random.Random(4)
+    parts = [
+        "a", "Be", "E", "é", "É", "İ", "ß", "'", "'s", "'LL", "''", "1", "23", "²", "½", ".", ",", "!?", "...", "-", " ", "  ", "\n", "\t", " ", "　", "é", "́",
+        "ﬁ", "ǅ", "日本", "🙂", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "|>", "<", "_", "\x00", "\x1f", " ", "ŉ", "K", "Å", "don't", "I'M", "x'.s", "’s",
+    ]
+    for size in (40, 3):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+        for at in range(0, len(texts), size):
+            some = texts[at : at + size]
+            ids, counts = chunks(*byte_view(pa.array(some)))
+            got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == [known.encode(x, add_special_tokens=False).ids for x in some]
+    byte_level = bpe.read_tokenizer(bpe.public_path("byte_bpe_50k.json"))
+    assert packing.Chunks(byte_level).ends is None
