@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from fieldlens.llm import bpe, html_text, langid, minhash, packing, prefixes, repeats, rollups, scans, simhash, whitening
+from fieldlens.llm import bpe, html_text, langid, minhash, neighbours, packing, prefixes, repeats, rollups, scans, simhash, whitening
 
 TURN = "conv_id long, turn long, role string, text string, n_convs string, at int, digest string, k int, slice string"
 
@@ -496,3 +496,46 @@ def test_chunks_have_the_ids_of_whole_texts():
             assert got == [known.encode(x, add_special_tokens=False).ids for x in some]
     byte_level = bpe.read_tokenizer(bpe.public_path("byte_bpe_50k.json"))
     assert packing.Chunks(byte_level).ends is None
+
+
+def test_scores_are_those_of_bm25():
+    import math
+
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 40, rng.integers(1, 60)).astype("<u2") for _ in range(25)]
+    held = np.array([sum(t in d for d in docs) for t in range(40)])
+    idf = np.maximum(0, np.log((25 - held + 0.5) / (held + 0.5))).astype(np.float32)
+    index = packing.Index(docs, idf)
+    mean = sum(map(len, docs)) / 25
+    for seed in range(25):
+        expected = [
+            sum(
+                max(0, math.log((25 - held[t] + 0.5) / (held[t] + 0.5))) * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+                for t in set(docs[seed].tolist())
+                if (f := int((d == t).sum()))
+            )
+            for d in docs
+        ]
+        assert np.allclose(index.scores(seed), expected, rtol=1e-5)
+
+
+def test_packing_keeps_rows_without_id_and_repeated_rows(spark, documents):
+    rows = [(None, "one two three"), (None, "one two three"), (4, "x " * 9000), (4, "x " * 9000), (5, None), (None, None)]
+    pieces = packing.packed(documents(*rows), bpe.public_path("word_bpe_49k.json")).collect()
+    whole = defaultdict(int)
+    for p in pieces:
+        whole[p.doc_id] += p.length
+    assert whole == {None: 2 * 4 + 1, 4: 2 * 9001, 5: 1}
+    held = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == held[p.sequence_id] and len(p.ids) == 4 * p.length
+        held[p.sequence_id] += p.length
+    assert all(n & (n - 1) == 0 for n in held.values()) and max(held.values()) <= 4096
+
+
+def test_neighbours_and_archives_with_clashing_columns(spark):
+    rows = [(i, [float(i % 5), 1.0], "a", 1, True) for i in range(40)] + [(3, [3.0, 1.0], "a", 1, True), (None, [1.0, 1.0], "a", 1, True), (50, [0.0, 0.0], "a", 1, True)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, rank int, q boolean")
+    got = neighbours.nearest(frame, frame.where("vec_id = 20")).collect()
+    exact = sorted(((-(i % 5 * 0 + 1.0), i) for i, _ in enumerate(rows[:40]) if i != 20))
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)][:20] == [i for _, i in exact][:4] + [3] + [i for _, i in exact][4:19]
