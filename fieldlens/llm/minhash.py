@@ -44,7 +44,7 @@ BITS = 1024
 SIGMAS = 6
 #: Classes, and members of their sets, of a block.
 BLOCK = 512
-HELD = 1 << 19
+HELD = 1 << 18
 #: Classes of buckets put together that are compared as one group; beyond that each bucket is a group.
 TOGETHER = 1 << 16
 #: Members of sets laid out as columns at a time.
@@ -52,7 +52,7 @@ COLUMNS = 1 << 13
 #: Documents confirmed against one document by a task in one go.
 CHUNK = 256
 #: Bytes of text hashed at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def band_count(percent: int) -> int:
