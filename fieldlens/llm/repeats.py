@@ -46,13 +46,13 @@ LENGTH = 50
 KEY = 20
 #: Bytes of text of a batch, and of the texts whose triggers make one share.
 BATCH = 8 << 20
-SHARE = 16 << 20
+SHARE = 8 << 20
 #: Bytes looked at together; positions within must fit the low bits below.
 PIECE = 1 << 20
 LOW = np.uint64(PIECE - 1)
 #: Phrases of a trigger that are ranked together, and bytes of phrases ranked in one go.
 HOT = 1 << 14
-RANKED = 2 << 20
+RANKED = 1 << 20
 #: Strings of a phrase at most.
 STRINGS = LENGTH - KEY + 1
 #: Odd base of the rolling hash (a fixed value).
