@@ -539,3 +539,17 @@ def test_neighbours_and_archives_with_clashing_columns(spark):
     got = neighbours.nearest(frame, frame.where("vec_id = 20")).collect()
     exact = sorted(((-(i % 5 * 0 + 1.0), i) for i, _ in enumerate(rows[:40]) if i != 20))
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)][:20] == [i for _, i in exact][:4] + [3] + [i for _, i in exact][4:19]
+
+
+def test_pipeline_of_an_empty_table_and_of_null_rows(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    prose = [" ".join(random.Random(i).choices("the river and house over hill with some light under garden".split(), k=80)) + f" number {i}" for i in range(4)]
+    empty, some = str(tmp_path / "empty"), str(tmp_path / "some")
+    documents().limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    rows = [(1, prose[0]), (1, prose[1]), (1, prose[0]), (2, prose[0]), (None, prose[2]), (None, prose[2], None, None), (None, None, None, None), (3, None), (4, prose[3], None, None)]
+    documents(*rows).write.parquet(f"{some}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, some).collect()
+    # Copies go, rows without id stay as they are, unlike rows of a document both stay.
+    assert sorted((p.doc_id is None, p.doc_id or 0) for p in pieces if p.start == 0) == [(False, 1), (False, 1), (False, 4), (True, 0), (True, 0)]
