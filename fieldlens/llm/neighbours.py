@@ -1,10 +1,10 @@
 """Exact nearest neighbours by inner product: int8 product tiles, error bounds, float recomputation, heaps.
 
-Vectors are quantised to int8 with one scale each. Queries and candidates are dealt into blocks, and every query block meets every
+Vectors are quantised to int8 with one scale each, once; only bytes, scale and three norms travel to tiles. Queries and candidates are dealt into blocks, and every query block meets every
 candidate block once, as a tile. The tile's product of int8 matrices estimates each inner product; the
 residuals' norms bound the error (|x.y - est| <= |ex||y| + |x~||ey|, x~ being x as quantised). A pair whose upper bound lies below the
-k-th largest lower bound of its query in the tile can't be among the k nearest. Survivors are recomputed in double precision, and heaps merge
-the tiles' k best of each query.
+k-th largest lower bound of its query, in the tile and then over all tiles, can't be among the k nearest. Survivors fetch both vectors and are recomputed in double precision, and heaps keep
+the k best of each query.
 
 Defined cases: vectors null, empty, zero or with null or non-finite components take no part; vectors of another length
 never meet; a row with the query's own id is no candidate of it; rows that repeat an id are candidates each; ties go to the smaller id;
@@ -18,10 +18,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import stored, table
 
 K = 20
 #: Vectors of a query block and of a candidate block.
@@ -43,29 +43,49 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-def _tile(queries, candidates, k: int):
-    """(query, candidate, score) of the k nearest of each query in one tile, as positions."""
-    (qid, qx), (cid, cx) = queries, candidates
-    qq, qs, qn, qe = _quantised(qx)
-    cq, cs, cn, ce = _quantised(cx)
+PREPARED = "id long, dims int, x array<double>, q binary, scale double, near double, rest double, full double"
+
+
+def _prepared(vectors: DataFrame) -> DataFrame:
+    """Rows with a key of their own, their int8 values as bytes, and scale and norms of what was quantised, its residual and the whole."""
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            for d in np.unique(dims):
+                part = batch.take(pa.array(np.flatnonzero(dims == d)))
+                x = part.column("x").flatten().to_numpy().reshape(-1, d)
+                q, scale, near, rest = _quantised(x)
+                full = np.linalg.norm(x, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("dims"), part.column("x"), pa.array([r.tobytes() for r in q], pa.binary()), *(pa.array(c) for c in (scale, near, rest, full))],
+                    ["id", "dims", "x", "q", "scale", "near", "rest", "full"],
+                )
+
+    return stored(vectors.mapInArrow(run, PREPARED).withColumn("key", F.monotonically_increasing_id()))
+
+
+def _tile(group: pa.Table, k: int):
+    """(query, candidate, lower, upper bound) by key of the pairs of one tile that may be among the k nearest of their query."""
+    is_query = group.column("is_query").to_numpy()
+    dims = group.column("dims")[0].as_py()
+    ids, keys, scale, near, rest, full = (group.column(c).to_numpy() for c in ("id", "key", "scale", "near", "rest", "full"))
+    q = np.frombuffer(b"".join(group.column("q").to_pylist()), np.int8).reshape(-1, dims)
+    mine, other = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+    if not len(mine) or not len(other):
+        return
     # Products of int8 sum exactly in float32 up to 1040 components, in float64 beyond.
-    kind = np.float32 if qx.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    cq = cq.astype(kind).T
-    c_full = np.linalg.norm(cx, axis=1)
-    for at in range(0, len(qid), ROWS):
-        rows = slice(at, at + ROWS)
-        est = (qq[rows].astype(kind) @ cq).astype(np.float64) * qs[rows, None] * cs[None, :]
-        slack = (qe[rows, None] * c_full[None, :] + qn[rows, None] * ce[None, :]) * (1 + 1e-9) + 1e-12 * np.abs(est)
-        own = qid[rows, None] == cid[None, :]
+    kind = np.float32 if dims * 127 * 127 < 1 << 24 else np.float64
+    right = q[other].astype(kind).T
+    for at in range(0, len(mine), ROWS):
+        rows = mine[at : at + ROWS]
+        est = (q[rows].astype(kind) @ right).astype(np.float64) * scale[rows, None] * scale[None, other]
+        slack = (rest[rows, None] * full[None, other] + near[rows, None] * rest[None, other]) * (1 + 1e-9) + 1e-12 * np.abs(est)
+        own = ids[rows, None] == ids[None, other]
         low = np.where(own, -np.inf, est - slack)
         floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((est + slack >= floor[:, None]) & ~own)
-        score = _exact(qx[rows][i], cx[j])
-        order = np.lexsort((cid[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        first = np.searchsorted(i, np.arange(len(low)))
-        best = np.arange(len(i)) - first[i] < k
-        yield i[best] + at, j[best], score[best]
+        yield keys[rows][i], keys[other][j], low[i, j], (est + slack)[i, j]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -75,29 +95,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_column: str =
         & F.coalesce(F.exists(column, lambda x: x != 0), F.lit(False))
         & F.coalesce(F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)), F.lit(False))
     ).select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("x"), F.size(column).alias("dims"))
-    left, right = usable(queries), usable(vectors)
+    left, right = _prepared(usable(queries)), _prepared(usable(vectors))
     m, n = left.count(), right.count()
     qb, cb = math.ceil(m / QUERIES) or 1, math.ceil(n / CANDIDATES) or 1
-    spot = lambda blocks: F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).cast("int")
+    spot = lambda blocks: F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    tiles = left.select("id", "x", "dims", F.lit(True).alias("q"), spot(qb).alias("i"), every(cb).alias("j")).unionAll(
-        right.select("id", "x", "dims", F.lit(False).alias("q"), every(qb).alias("i"), spot(cb).alias("j"))
+    sent = ("key", "id", "dims", "q", "scale", "near", "rest", "full")
+    tiles = left.select(*sent, F.lit(True).alias("is_query"), spot(qb).alias("i"), every(cb).alias("j")).unionAll(
+        right.select(*sent, F.lit(False).alias("is_query"), every(qb).alias("i"), spot(cb).alias("j"))
     )
 
     def run(group: pa.Table) -> pa.Table:
-        is_query = group.column("q").to_numpy()
-        ids = group.column("id").to_numpy()
-        dims = group.column("dims")[0].as_py()
-        x = group.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dims)
-        qid, cid = ids[is_query], ids[~is_query]
-        parts = []
-        if len(qid) and len(cid):
-            for i, j, s in _tile((qid, x[is_query]), (cid, x[~is_query]), k):
-                parts.append((qid[i], cid[j], s))
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
-
-    best = tiles.groupBy("dims", "i", "j").applyInArrow(run, "query_id long, vec_id long, score double")
+        parts = list(_tile(group, k))
+        kinds = (np.int64, np.int64, np.float64, np.float64)
+        return pa.table([pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, kind)) for c, kind in enumerate(kinds)], names=["a", "b", "low", "high"])
+
+    pairs = stored(tiles.groupBy("dims", "i", "j").applyInArrow(run, "a long, b long, low double, high double"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("low")))
+    floors = pairs.select("a", "low", nth.alias("nth")).where(F.col("nth") == k).select("a", F.col("low").alias("floor"))
+    survivors = pairs.join(floors, "a", "left").where("floor is null or high >= floor").select("a", "b")
+    both = survivors.join(left.select(F.col("key").alias("a"), F.col("id").alias("query_id"), F.col("x").alias("qx"), "dims"), "a").join(
+        right.select(F.col("key").alias("b"), F.col("id").alias("vec_id"), F.col("x").alias("cx")), "b"
+    )
+
+    def recompute(batches):
+        for batch in batches:
+            dims, score = batch.column("dims").to_numpy(), np.zeros(batch.num_rows)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                a, b = (batch.column(c).take(pa.array(at)).flatten().to_numpy().reshape(-1, d) for c in ("qx", "cx"))
+                score[at] = _exact(a, b)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    best = both.select("query_id", "vec_id", "dims", "qx", "cx").mapInArrow(recompute, "query_id long, vec_id long, score double")
     laid = best.repartition("query_id").sortWithinPartitions("query_id")
 
     def merge(batches):
