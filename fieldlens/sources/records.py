@@ -10,6 +10,8 @@ from fieldlens.sources.files import opened, tasks
 
 #: Bytes of a list that a task scans, bytes held at a time, and bytes of the longest record.
 CHUNK, HELD, LONGEST = 64 << 20, 4 << 20, 64 << 20
+#: Bytes read at first behind a range, for the rest of its last record.
+BEHIND = 4 << 10
 BROKEN = "_broken"
 QUOTE, ESCAPE, COMMA, OPEN_LIST, CLOSE_LIST = b'"\\,[]'
 #: By how much a byte outside of a string changes the depth.
@@ -72,12 +74,17 @@ def list_elements(spark, path, chunk=CHUNK):
 
 def _quotes(data, escapes):
     """Where strings begin and end, and how many escapes run up to the end of `data`."""
-    place = np.arange(len(data))
-    plain = np.maximum.accumulate(np.where(data != ESCAPE, place, -1))
-    before = np.r_[-1, plain[:-1]]
-    run = place - 1 - before + np.where(before < 0, escapes, 0)
-    rest = len(data) - 1 - plain[-1] + (escapes if plain[-1] < 0 else 0)
-    return (data == QUOTE) & (run % 2 == 0), int(rest)
+    marks, at = data == QUOTE, np.flatnonzero(data == ESCAPE)
+    if escapes % 2 and not (len(at) and at[0] == 0):
+        marks[0] = False
+    if not len(at):
+        return marks, 0
+    breaks = np.flatnonzero(np.diff(at) != 1)
+    first, after = at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]] + 1
+    run = after - first + np.where(first == 0, escapes, 0)
+    behind = after[run % 2 == 1]
+    marks[behind[behind < len(data)]] = False
+    return marks, int(run[-1]) if after[-1] == len(data) else 0
 
 
 def _escapes_before(file, at):
@@ -93,10 +100,15 @@ def _escapes_before(file, at):
     return n
 
 
-def _parts(file, at, end, escapes):
-    """(place, bytes, quotes) of a file from `at` on, a few megabytes at a time."""
+def _parts(file, at, end, escapes, own=None):
+    """(place, bytes, quotes) of a file from `at` on, a few megabytes at a time; behind `own` little at first, then twice as much each time."""
+    own, behind = end if own is None else min(own, end), BEHIND
     while at < end:
-        data = np.frombuffer(file.read_at(min(HELD, end - at), at), np.uint8)
+        if at < own:
+            size = min(HELD, own - at)
+        else:
+            size, behind = min(behind, end - at), min(2 * behind, HELD)
+        data = np.frombuffer(file.read_at(size, at), np.uint8)
         if not len(data):
             return
         marks, escapes = _quotes(data, escapes)
@@ -138,7 +150,7 @@ def _elements(file, length, begin, end, in_string, depth):
     than LONGEST comes cut, and is no JSON then.
     """
     start, held, size, opening = None, [], 0, False
-    for at, data, marks in _parts(file, begin, length, _escapes_before(file, begin)):
+    for at, data, marks in _parts(file, begin, length, _escapes_before(file, begin), end):
         odd = (np.cumsum(marks) + in_string) % 2 == 1
         after = depth + np.cumsum(np.where(odd, 0, STEP[data]))
         opens = ~odd & (data == OPEN_LIST) & (after == 1)

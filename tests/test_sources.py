@@ -5,6 +5,7 @@ import json
 import random
 
 import frames
+import numpy as np
 import pytest
 from frames import completion, fit_info, production, rows
 from pyspark.sql import functions as F
@@ -170,6 +171,32 @@ def test_a_list_is_read_by_several_tasks_and_equals_one(spark, tmp_path):
     assert rejects.count() == 0
 
 
+class Counted:
+    """A file in memory that counts the bytes read of it."""
+
+    def __init__(self, data):
+        self.data, self.bytes = data, 0
+
+    def read_at(self, size, at):
+        part = self.data[at : at + size]
+        self.bytes += len(part)
+        return part
+
+
+@pytest.mark.parametrize("text", [b'{"a": "x, \\"]"}', b'{"a": "' + b"y" * 20_000 + b'"}'])
+def test_a_range_reads_little_behind_its_end(text):
+    file = Counted(b"[" + b",".join([text] * (1_000_000 // len(text))) + b"]")
+    chunk, found = 1 << 16, []
+    for number in range(3):
+        end = (number + 1) * chunk
+        earlier = np.frombuffer(file.data[: number * chunk], np.uint8)
+        odd = np.cumsum(records._quotes(earlier, 0)[0]) % 2 == 1 if number else np.zeros(0, bool)
+        before = file.bytes
+        found += records._elements(file, len(file.data), number * chunk, end, int(odd[-1]) if number else 0, int(records.STEP[earlier[~odd]].sum()))
+        assert file.bytes - before <= chunk + 4 * len(text) + 3 * records.BEHIND
+    assert [start for start, _ in found] == list(range(1, 3 * chunk + 1, len(text) + 1)) and {t for _, t in found} == {text}
+
+
 def test_contents_of_a_column_of_paths(spark, tmp_path):
     documents = {"a.json": '{"loss": 1.5, "wells": []}', "b.json": '{"loss": ', "c/d.json": "", "m.csv": 'W,"x\ny"\n1,"2"\n\n,3,4\n'}
     frame = spark.createDataFrame([(k, v.encode()) for k, v in documents.items()], "path string, content binary")
