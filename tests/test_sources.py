@@ -245,5 +245,17 @@ def test_bucketed_tables_join_without_moving_the_fact(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+def test_quotes_behind_escapes_are_no_marks():
+    rng = random.Random(3)
+    for _ in range(500):
+        data, before = bytes(rng.choices(b'"\\\\a', k=rng.randint(1, 12))), rng.randint(0, 3)
+        marks, run = [], before
+        for byte in data:
+            marks.append(byte == records.QUOTE and run % 2 == 0)
+            run = run + 1 if byte == records.ESCAPE else 0
+        found, rest = records._quotes(np.frombuffer(data, np.uint8), before)
+        assert (found.tolist(), rest) == (marks, run)
+
+
 def plan_text(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
