@@ -18,6 +18,8 @@ SENSITIVITY_MATRIX = ("final", "SensitivityMatrixCumWWell.csv")
 READ, MISSING, UNREADABLE, TOO_LARGE, BROKEN, NO_PATH = "read", "missing", "unreadable", "too large", "broken", "no path"
 #: Bytes of contents that a task gathers, and cells.
 GATHERED, CELLS = 8 << 20, 50_000
+#: Folders that a task remembers to be there.
+FOLDERS = 10_000
 
 _TEXT = T.StringType()
 MANIFEST = T.StructType(
@@ -107,23 +109,42 @@ def _content(path, root, largest):
 def write_contents(contents, root, column="path", content="content"):
     """One file per row, written inside tasks below `root`; returns rows of (path, size) once all are there.
 
-    A file appears whole or not at all, and writing it again replaces it, as a task that is run again does.
+    A file appears whole or not at all, and writing it again replaces it, as a task that is run again does. Rows are dealt to tasks
+    by path, however few bytes they have. Below `root`, which is one file system, a file is written into a folder of its task and then
+    moved, so tasks that fill the same folder wait for each other only while they move a file.
     """
 
     def run(batches):
-        for batch in batches:
-            sizes = []
-            for path, data in zip(batch.column(column).to_pylist(), batch.column(content).to_pylist(), strict=True):
-                system, name = opened(below(root, path))
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                part = f"{name}.part-{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(data or b"")
-                system.move(part, name)
-                sizes.append(len(data or b""))
-            yield pa.RecordBatch.from_arrays([batch.column(column), pa.array(sizes, pa.int64())], ["path", "size"])
-
-    return contents.select(column, content).mapInArrow(run, "path string, size long")
+        made, parts = set(), None
+        try:
+            for batch in batches:
+                sizes = []
+                for path, data in zip(batch.column(column).to_pylist(), batch.column(content).to_pylist(), strict=True):
+                    whole = below(root, path)
+                    system, name = opened(whole)
+                    folder = name.rsplit("/", 1)[0]
+                    if folder not in made:
+                        if len(made) >= FOLDERS:
+                            made.clear()
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    if whole == path:
+                        part = f"{name}.part-{uuid.uuid4().hex}"
+                    else:
+                        if parts is None:
+                            parts = opened(below(root, f".parts-{uuid.uuid4().hex}"))
+                            parts[0].create_dir(parts[1], recursive=True)
+                        part = f"{parts[1]}/part"
+                    with system.open_output_stream(part) as out:
+                        out.write(data or b"")
+                    system.move(part, name)
+                    sizes.append(len(data or b""))
+                yield pa.RecordBatch.from_arrays([batch.column(column), pa.array(sizes, pa.int64())], ["path", "size"])
+        finally:
+            if parts is not None:
+                parts[0].delete_dir(parts[1])
+
+    return contents.select(column, content).repartition(tasks(contents.sparkSession), column).mapInArrow(run, "path string, size long")
 
 
 def json_documents(contents, schema):

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 
 import frames
@@ -217,6 +218,17 @@ def test_contents_of_a_column_of_paths(spark, tmp_path):
     assert rows(artefacts.read_contents(wanted, root=str(tmp_path), largest=5).filter("k = 0"), "status") == [("too large",)]
 
 
+def test_files_are_written_by_several_tasks_and_leave_nothing_beside(spark, tmp_path):
+    few = spark.range(400).selectExpr("concat('blob/', id, '.json') AS path", "cast('{}' AS binary) AS content").coalesce(1)
+    deep = spark.range(3).selectExpr(f"concat('file:{tmp_path}/own/', id, '/a') AS path", "cast(null AS binary) AS content")
+    written = artefacts.write_contents(few.union(deep).coalesce(1), f"file://{tmp_path}").withColumn("task", F.spark_partition_id())
+    found = written.collect()
+    assert len({row.task for row in found}) > 3 and sum(row["size"] for row in found) == 800
+    assert sorted(os.listdir(tmp_path)) == ["blob", "own"]
+    assert sorted(os.listdir(tmp_path / "blob")) == sorted(f"{k}.json" for k in range(400))
+    assert [os.listdir(tmp_path / "own" / str(k)) for k in range(3)] == [["a"]] * 3
+
+
 def test_bucketed_tables_join_without_moving_the_fact(spark, tmp_path):
     parts = frames.tables(
         spark, [{"WellAPI": f"w{i % 7}", "CompSubId": str(i % 3), "Month": i % 13 + 1} for i in range(200)],
