@@ -17,7 +17,7 @@ from fieldlens.operators import joins, modelled, options, selection, series, sum
 from fieldlens.operators.filters import picks
 from fieldlens.plans.derived import DerivedTables
 from fieldlens.sources import artefacts
-from fieldlens.sources.layout import read_layout, work_folder, write_layout
+from fieldlens.sources.layout import buckets_for, read_layout, work_folder, write_layout
 from fieldlens.sources.records import records_and_rejects, write_records, write_texts_as_lists
 from fieldlens.sources.schema import FIT_INFO, SCHEMAS
 from fieldlens.sources.tables import list_cases, load
@@ -524,9 +524,10 @@ def _(t):
 # Tables written and read again
 
 
-def _laid_out(t, buckets=8):
+def _laid_out(t):
     prefix = f"layout_{uuid.uuid4().hex}"
-    write_layout(t, work_folder(t.spark), prefix, buckets)
+    # Modelled rows are sums of measured ones, so no table has more rows than the measured one.
+    write_layout(t, work_folder(t.spark), prefix, buckets_for(t.productiondata, t.completiondata))
     return read_layout(t.spark, prefix)
 
 

@@ -229,6 +229,19 @@ def test_files_are_written_by_several_tasks_and_leave_nothing_beside(spark, tmp_
     assert [os.listdir(tmp_path / "own" / str(k)) for k in range(3)] == [["a"]] * 3
 
 
+def test_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    parts = frames.tables(
+        spark, [{"WellAPI": f"w{i}", "CompSubId": str(i % 3)} for i in range(400)], [{"WellAPI": "w1"}], [{}], [{"WellId": "w1", "CompletionId": 1, "OilRateP50": 1.0}],
+    )
+    monkeypatch.setattr(layout, "ROWS", 20)
+    layout.write_layout(parts, str(tmp_path / "laid"), "by_rows")
+    for name in layout.BUCKET_COLUMNS:
+        described = dict(rows(spark.sql(f"DESCRIBE EXTENDED by_rows_{name}").filter("col_name = 'Num Buckets'"), "col_name", "data_type"))
+        assert described == {"Num Buckets": "20"}
+    assert rows(layout.read_layout(spark, "by_rows").productiondata.select(*parts.productiondata.columns)) == rows(parts.productiondata)
+    assert layout.buckets_for(parts.completiondata) == layout.FEWEST
+
+
 def test_bucketed_tables_join_without_moving_the_fact(spark, tmp_path):
     parts = frames.tables(
         spark, [{"WellAPI": f"w{i % 7}", "CompSubId": str(i % 3), "Month": i % 13 + 1} for i in range(200)],
