@@ -21,6 +21,7 @@ rows are encoded each; other columns are ignored.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
@@ -90,6 +91,7 @@ class MergeList:
         rules = [tuple(map(plain, r if isinstance(r, list) else r.split(" "))) for r in model["merges"]]
         self.rank = {r: i for i, r in enumerate(rules)}
         self.lookahead = self._lookahead(rules)
+        self._number()
         self.window = 4 * self.lookahead + 1024
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -107,6 +109,28 @@ class MergeList:
             most = max(most, d)
         return most
 
+    def _number(self) -> None:
+        """The rules by ids: of two tokens, of two bytes, and the id that each rule makes."""
+        self.first = [self.ids.get(bytes([b]), -1 - b) for b in range(256)]
+        self.made = {i: self.ids[u + v] for (u, v), i in self.rank.items()}
+        self.pairs = {(self.ids[u], self.ids[v]): i for (u, v), i in self.rank.items()}
+        self.rows = [[self.pairs.get((a, b), NO_RULE) for b in self.first] for a in self.first]
+        self.packed_of = {i: i.to_bytes(4, "little") for i in self.ids.values()}.__getitem__
+
+    def short(self, data: bytes) -> bytes:
+        """The packed ids of one short word; the same as those of `merged`."""
+        parts, rows, made, get, none = [self.first[b] for b in data], self.rows, self.made, self.pairs.get, NO_RULE
+        ranks = [rows[a][b] for a, b in zip(data, data[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            parts[at] = new = made[best]
+            del parts[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = get((new, parts[at + 1]), none)
+            if at:
+                ranks[at - 1] = get((parts[at - 1], new), none)
+        return b"".join(map(self.packed_of, parts))
+
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of one word: always the earliest rule, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -238,23 +262,27 @@ class Encoder:
     def _units(self, units: list[str], out: list[bytes]) -> None:
         found = list(map(self.units.new.get, units))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    unit = units[i]
-                    if (ids := self.units.get(unit)) is None:
-                        ids = b"".join(map(self._known_word, WORD.findall(unit)))
-                    if len(unit) <= KEPT_CHARS:
-                        self.units.put(unit, ids)
-                    found[i] = ids
+            older, word = self.units.old.get, self._known_word
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                unit = units[i]
+                if (ids := older(unit)) is None:
+                    # A blank or none and letters are one word.
+                    ids = word(unit) if unit.isascii() and (unit.isalpha() or unit[0] == " " and unit[1:].isalpha()) else b"".join(map(word, WORD.findall(unit)))
+                if len(unit) <= KEPT_CHARS:
+                    self.units.put(unit, ids)
+                found[i] = ids
         out.extend(found)
 
     def _known_word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            part: list[bytes] = []
-            self._word(word.encode(), part)
-            ids = b"".join(part)
-        if len(word) <= KEPT_CHARS:
-            self.words.put(word, ids)
+        if (ids := self.words.new.get(word)) is not None:
+            return ids
+        if (ids := self.words.old.get(word)) is None:
+            if len(word) > KEPT_CHARS:
+                part: list[bytes] = []
+                self._word(word.encode(), part)
+                return b"".join(part)
+            ids = self.m.short(word.encode())
+        self.words.put(word, ids)
         return ids
 
 
@@ -295,12 +323,18 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(maxsize=1)
+def merge_list(text: str) -> tuple[MergeList, tuple[Known, Known]]:
+    """The rules of a tokenizer's file with the pieces known so far, kept by a worker from task to task."""
+    return MergeList(text), (Known(), Known())
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed) for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     def run(batches):
-        merges, known = MergeList(shared.value), (Known(), Known())
+        merges, known = merge_list(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = b"".join(encoded(merges, batch.column("text")[i].as_py() or "", known))
@@ -314,7 +348,7 @@ def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
     shared = encoded_docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     def run(batches):
-        decoder = Decoder(MergeList(shared.value))
+        decoder = Decoder(merge_list(shared.value)[0])
         for batch in batches:
             texts = [decoder.feed(x.as_py() or b"") + decoder.finish() for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -330,7 +364,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     def run(batches):
-        merges, known = MergeList(shared.value), (Known(), Known())
+        merges, known = merge_list(shared.value)
         decoder = Decoder(merges)
         for batch in batches:
             rows = []

@@ -68,6 +68,20 @@ def test_bpe_fed_in_any_pieces():
         assert np.frombuffer(out, "<u4").tolist() == known.encode(text, add_special_tokens=False).ids
 
 
+def test_short_words_by_ids_and_rules_kept_by_a_worker():
+    text = bpe.read_tokenizer(bpe.public_path("byte_bpe_50k.json"))
+    merges, pieces = bpe.merge_list(text)
+    assert bpe.merge_list(str(text.encode(), "utf-8")) == (merges, pieces)
+    rng = random.Random(5)
+    for _ in range(2000):
+        word = "".join(rng.choices("aeinorst theABC019.,'é日\n", k=rng.randint(1, 48))).encode()
+        assert merges.short(word) == b"".join(merges.packed[t] for t in merges.merged(word))
+    known = tokenizer("byte_bpe_50k.json")
+    for line in [" plain", "plain", " two words", "don't stop", " Ü Über", "  two", "\nnext", " ab1 'sab 'll", " x" * 60]:
+        for _ in range(2):
+            assert np.frombuffer(b"".join(bpe.encoded(merges, line, pieces)), "<u4").tolist() == known.encode(line, add_special_tokens=False).ids
+
+
 def shingles(text, width):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
