@@ -15,6 +15,7 @@ packed each; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -84,6 +85,12 @@ class Chunks:
         if steps == known and cuts[0].get("pattern") == {"Regex": WORDS} and suffix and not any(x["normalized"] for x in spec["added_tokens"]):
             self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            # Words of LETTERS are composed and no sign parts them: lower-cased, the same model needs neither normalizer nor pattern for them.
+            parted = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            plain = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": spec["pre_tokenizer"] | {"pretokenizers": [parted, *cuts[1:]]}}
+            self.plain = Tokenizer.from_str(json.dumps(plain))
+            self.plain.no_truncation()
+            self.plain.no_padding()
         self.special = sorted({x["content"][:2].encode() for x in spec["added_tokens"]})
 
     def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
@@ -92,7 +99,7 @@ class Chunks:
             words = [c for c in chunks if LETTERS.fullmatch(c)]
             alone = [c for c in chunks if not LETTERS.fullmatch(c)]
             groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 last = np.flatnonzero(self.ends[ids]) + 1
                 if len(last) == len(group) and last[-1] == len(ids):
@@ -141,10 +148,18 @@ class Chunks:
         n = sizes[at]
         ends = np.cumsum(n)
         starts = np.cumsum(sizes) - sizes
-        ids = every[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Half as wide where places fit.
+        wide = np.int32 if max(len(every), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+        ids = every[np.repeat((starts[at] - (ends - n)).astype(wide), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=wide)]
         return ids, np.diff(np.r_[0, ends][lists.offsets.to_numpy()])
 
 
+@functools.lru_cache(maxsize=1)
+def chunks_of(tokenizer_json: str) -> Chunks:
+    """The tokenizer of a file with the chunks known so far, kept by a worker from task to task."""
+    return Chunks(tokenizer_json)
+
+
 def id_type(path: str) -> str:
     """The smallest unsigned type that holds every id of the tokenizer."""
     from tokenizers import Tokenizer
@@ -160,7 +175,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, kind: str = "<u4") ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunks = Chunks(shared.value)
+        chunks = chunks_of(shared.value)
         for batch in batches:
             data, offsets = byte_view(batch.column("text"))
             for first, last in slices(offsets, SLICE):

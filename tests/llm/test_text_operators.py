@@ -82,6 +82,16 @@ def test_short_words_by_ids_and_rules_kept_by_a_worker():
             assert np.frombuffer(b"".join(bpe.encoded(merges, line, pieces)), "<u4").tolist() == known.encode(line, add_special_tokens=False).ids
 
 
+def test_plain_words_need_no_normalizer():
+    spec = bpe.read_tokenizer(bpe.public_path("word_bpe_49k.json"))
+    chunks, known = packing.chunks_of(spec), tokenizer("word_bpe_49k.json")
+    assert packing.chunks_of(str(spec.encode(), "utf-8")) is chunks
+    letters = [c for c in map(chr, range(0x180)) if packing.LETTERS.fullmatch(c)]
+    rng = random.Random(7)
+    words = [*letters, *("".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(3000)), *("".join(rng.choices("aeinrstÉèß", k=rng.randint(2, 9))) for _ in range(3000))]
+    assert {w: np.frombuffer(ids, "<u4").tolist() for w, ids in chunks._encoded(words).items()} == {w: known.encode(w, add_special_tokens=False).ids for w in words}
+
+
 def shingles(text, width):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
