@@ -17,6 +17,7 @@ from fieldlens.operators import joins, modelled, options, selection, series, sum
 from fieldlens.operators.filters import picks
 from fieldlens.plans.derived import DerivedTables
 from fieldlens.sources import artefacts
+from fieldlens.sources.files import tasks
 from fieldlens.sources.layout import buckets_for, read_layout, work_folder, write_layout
 from fieldlens.sources.records import records_and_rejects, write_records, write_texts_as_lists
 from fieldlens.sources.schema import FIT_INFO, SCHEMAS
@@ -559,7 +560,9 @@ def _fit_run_lists(t):
     key = F.substring("casename", 4, 20).cast("bigint")
     folder = work_folder(t.spark)
     whole, broken = F.to_json(F.struct(*t.fit_runs.columns)), F.to_json(F.struct("casename", F.lit('no "number"}, [\\').alias("Dt")))
-    write_texts_as_lists(t.fit_runs.select(F.when(key % 17 == 0, broken).otherwise(whole).alias("text")), folder)
+    # A file of orders may be one row group, which is one task's to read; the lists are made and written by as many as are asked for.
+    runs = t.fit_runs.repartition(tasks(t.spark), "casename")
+    write_texts_as_lists(runs.select(F.when(key % 17 == 0, broken).otherwise(whole).alias("text")), folder)
     return records_and_rejects(t.spark, folder, FIT_INFO, lines=False, chunk=RANGE)
 
 

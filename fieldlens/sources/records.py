@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,23 +157,24 @@ def _elements(file, length, begin, end, in_string, depth):
         opens = ~odd & (data == OPEN_LIST) & (after == 1)
         commas = ~odd & (data == COMMA) & (after == 1)
         closes = ~odd & (data == CLOSE_LIST) & (after == 0)
-        last = 0
+        last, raw = 0, data.tobytes()
         for spot in np.flatnonzero(opens | commas | closes).tolist():
+            mark = raw[spot]
             if start is not None:
-                held.append(data[last:spot].tobytes() if size < LONGEST else b"")
-                whole = b"".join(held)
-                if whole.strip() or not (opening and closes[spot]):
+                own = raw[last:spot] if size < LONGEST else b""
+                whole = b"".join([*held, own]) if held else own
+                if whole.strip() or not (opening and mark == CLOSE_LIST):
                     yield start, whole
-            if closes[spot] or at + spot >= end:
+            if mark == CLOSE_LIST or at + spot >= end:
                 start = None
                 if at + spot >= end:
                     return
             else:
-                start, opening = at + spot + 1, bool(opens[spot])
+                start, opening = at + spot + 1, mark == OPEN_LIST
             held, size, last = [], 0, spot + 1
         if start is not None:
             if size < LONGEST:
-                held.append(data[last:].tobytes())
+                held.append(raw[last:])
             size += len(data) - last
         elif at + len(data) >= end:
             return
@@ -208,7 +210,7 @@ def _cut(chunk):
         yield batch_of(path, starts, texts)
 
     def batch_of(path, starts, texts):
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], ["path", "start", "text"])
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path, pa.string()), len(starts)), pa.array(starts, pa.int64()), pa.array(texts, pa.string())], ["path", "start", "text"])
 
     return run
 
@@ -226,14 +228,16 @@ def write_record_lists(df, path, mode="errorifexists"):
 
 
 def write_texts_as_lists(texts, path, mode="errorifexists"):
-    """JSON texts, the column `text`, written as lists, one file per partition."""
+    """JSON texts, the column `text`, written as lists, one file per partition; a null text is a JSON null."""
 
     def run(batches):
         opening = "["
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_arrays([pa.array([f"{',' if i else opening}{t}" for i, t in enumerate(texts)])], ["value"])
+            texts = batch.column("text")
+            if len(texts):
+                marks = pa.array([opening, *[","] * (len(texts) - 1)], texts.type)
+                joined = pc.binary_join_element_wise(marks, texts, pa.scalar("", texts.type), null_handling="replace", null_replacement="null")
+                yield pa.RecordBatch.from_arrays([joined], ["value"])
                 opening = ","
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if opening == "[" else "]"])], ["value"])
 

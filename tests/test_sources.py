@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import measures
 from fieldlens.operators import joins, options, series, summary
+from fieldlens.plans import catalogue
+from fieldlens.plans.derived import DerivedTables
 from fieldlens.sources import artefacts, layout, records, schema, tables
 
 
@@ -172,6 +174,21 @@ def test_a_list_is_read_by_several_tasks_and_equals_one(spark, tmp_path):
     assert rejects.count() == 0
 
 
+def test_lists_are_written_by_as_many_tasks_as_asked_for(spark, tmp_path, monkeypatch):
+    orders = spark.range(1, 200).selectExpr("id as o_orderkey", "id as o_custkey", "'1-URGENT' as o_orderpriority", "'F' as o_orderstatus", "timestamp_ntz'1995-01-01 00:00:00' as o_orderdate")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(catalogue, "work_folder", lambda _: str(tmp_path / "lists"))
+    kept, rejects = catalogue._fit_run_lists(DerivedTables(spark, str(tmp_path)))
+    assert len(list((tmp_path / "lists").glob("part-*"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert kept.count() == 188 and rejects.count() == 11
+
+
+def test_a_null_text_is_written_as_null(spark, tmp_path):
+    records.write_texts_as_lists(spark.createDataFrame([("1",), (None,), ("2",)], "text string").coalesce(1), str(tmp_path / "lists"))
+    (file,) = (tmp_path / "lists").glob("part-*")
+    assert json.loads(file.read_text()) == [1, None, 2]
+
+
 class Counted:
     """A file in memory that counts the bytes read of it."""
 
