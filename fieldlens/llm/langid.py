@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, slices, stored, table
+from .common import byte_view, lean, slices, stored, table
 
 LANGUAGES = 200
 SAMPLE = 500
@@ -161,7 +161,7 @@ def _scored(rows: DataFrame, labels: list[str], table_: np.ndarray) -> DataFrame
                     scores.append((TEMPER * (counts.astype(np.float32) @ weights)).tolist() if counts.any() else None)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(scores, pa.list_(pa.float32()))], [*others, "scores"])
 
-    placed = rows.select(*others, "text").mapInArrow(run, schema)
+    placed = rows.select(*others, "text").mapInArrow(lean(run), schema)
     return placed.withColumn("text_at", F.expr("nullif(array_position(scores, array_max(scores)), 0) - 1").cast("int")).withColumn(
         "domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     )

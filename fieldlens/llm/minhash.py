@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, mixed, odd_numbers, slices, small_enough, stored, table
+from .common import byte_view, lean, mixed, odd_numbers, slices, small_enough, stored, table
 from .components import components
 from .words import shingle_sets
 
@@ -186,7 +186,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
                             left.append(a[i]), right.append(ids[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return laid.mapInArrow(run, "a long, b long").distinct()
+    return laid.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     [*others, "n", "samples", "sketch", "items"],
                 )
 
-    return rows.mapInArrow(run, f"{kinds}, n long, samples int, sketch binary, items binary").where("n > 0")
+    return rows.mapInArrow(lean(run), f"{kinds}, n long, samples int, sketch binary, items binary").where("n > 0")
 
 
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ def _rest(buckets: DataFrame, found: DataFrame, docs: DataFrame, percent: int, w
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
-    prints = stored(docs.mapInArrow(_prints(percent, width), PRINTS))
+    prints = stored(docs.mapInArrow(lean(_prints(percent, width)), PRINTS))
     real = prints.where("n_shingles > 0 and doc_id is not null")
     classes = stored(
         real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import public_path, read_tokenizer
-from .common import byte_view, slices, stored, table
+from .common import byte_view, given_back, lean, slices, stored, table
 
 WINDOW = 4096
 #: Tokens of a shard.
@@ -189,7 +189,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, kind: str = "<u4") ->
                 packed_ids = pa.BinaryArray.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(counts + 1), packed_ids], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary")
 
 
 def document_counts(tokens: DataFrame, kind: str = "<u4") -> tuple[int, np.ndarray]:
@@ -207,7 +207,7 @@ def document_counts(tokens: DataFrame, kind: str = "<u4") -> tuple[int, np.ndarr
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], n))], ["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("ids").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     token, n = rows.column("token").to_numpy(), rows.column("n").to_numpy()
     out = np.zeros(int(token.max(initial=0)) + 1, np.int64)
     out[token[token >= 0]] = n[token >= 0]
@@ -346,7 +346,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD,
 
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
     # A task packs some shards one after the other, whatever the session's partitions are.
-    return dealt.repartition(math.ceil(shards / TOGETHER), "shard").groupBy("shard").applyInArrow(pack, PIECES)
+    return dealt.repartition(math.ceil(shards / TOGETHER), "shard").groupBy("shard").applyInArrow(lambda g: given_back(pack(g)), PIECES)
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, mixed, table, text_bytes
+from .common import byte_view, given_back, mixed, table, text_bytes
 
 #: Bytes of a repeated string (the contract's), and of a trigger.
 LENGTH = 50
@@ -484,11 +484,11 @@ def repeated_passages(docs: DataFrame, carry: tuple[str, ...] = (), hot: int = H
             names=["doc_id", "n_bytes", "spans", "kept", *carry],
         )
 
-    first = dealt.groupBy("batch").applyInArrow(send, SENT).groupBy("share").applyInArrow(lambda g: _dictionary(g, hot), ANSWERS)
+    first = dealt.groupBy("batch").applyInArrow(lambda g: given_back(send(g)), SENT).groupBy("share").applyInArrow(lambda g: given_back(_dictionary(g, hot)), ANSWERS)
     second = (
-        dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(list_phrases, SENT).groupBy("share").applyInArrow(_ranked, ANSWERS)
+        dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(lambda g, a: given_back(list_phrases(g, a)), SENT).groupBy("share").applyInArrow(lambda g: given_back(_ranked(g)), ANSWERS)
     )
-    done = dealt.groupBy("batch").cogroup(first.unionAll(second).groupBy("batch")).applyInArrow(lambda g, a: cut(g, a) if g.num_rows else _cut(g, *byte_view(g.column("text")), np.zeros(0, bool)), schema)
+    done = dealt.groupBy("batch").cogroup(first.unionAll(second).groupBy("batch")).applyInArrow(lambda g, a: given_back(cut(g, a)) if g.num_rows else _cut(g, *byte_view(g.column("text")), np.zeros(0, bool)), schema)
     unnamed = taken.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         F.array().cast("array<struct<begin: long, end: long>>").alias("spans"), F.col("text").cast("binary").alias("kept"), *carry,

@@ -1,6 +1,7 @@
 """The conversation trie, covering SimHash and whitening against brute force: nulls, ties, hot keys, empty tables."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from fieldlens.llm import bpe, html_text, langid, minhash, neighbours, packing, prefixes, repeats, rollups, scans, simhash, whitening
+from fieldlens.llm import bpe, common, html_text, langid, minhash, neighbours, packing, prefixes, repeats, rollups, scans, simhash, whitening
 
 TURN = "conv_id long, turn long, role string, text string, n_convs string, at int, digest string, k int, slice string"
 
@@ -553,3 +554,23 @@ def test_pipeline_of_an_empty_table_and_of_null_rows(spark, documents, tmp_path)
     pieces = corpus_pipeline.run(spark, some).collect()
     # Copies go, rows without id stay as they are, unlike rows of a document both stay.
     assert sorted((p.doc_id is None, p.doc_id or 0) for p in pieces if p.start == 0) == [(False, 1), (False, 1), (False, 4), (True, 0), (True, 0)]
+
+
+def test_a_worker_gives_back_what_a_task_held():
+    def held():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            # Small parts of the C heap with one in use behind them, which the heap doesn't shrink below by itself.
+            parts = [bytearray(100_000) for _ in range(1500)]
+            pins.append(bytearray(100_000))
+            yield batch + len(parts)
+
+    before = held()
+    assert list(common.lean(run)([1, 2])) == [1501, 1502]
+    assert held() < before + 40 and len(pins) == 2
+    assert common.given_back("x") == "x"
